@@ -141,7 +141,7 @@ def set_digest(hashes: np.ndarray) -> tuple[int, int]:
 
 
 #: Rows handed to Python at a time.
-BATCH_ROWS = "500"
+BATCH_ROWS = 500
 
 # --- arrow helpers -----------------------------------------------------------------------------
 
@@ -153,9 +153,13 @@ def list_array(rows: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow for functions of one batch; batches are kept small, as a row can be megabytes."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """mapInArrow for functions of one batch; batches are kept small, as a row can be megabytes.
+
+    The session reads the batch size when a plan runs, so a smaller one than usual holds only for
+    tables that are materialized before the next call.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

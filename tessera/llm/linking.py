@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    arrow_map, components, discard, in_bitmap, key_bitmap, list_array, materialize, mix64,
+    BATCH_ROWS, arrow_map, components, discard, in_bitmap, key_bitmap, list_array, materialize, mix64,
 )
 
 #: Members of a bucket per block in the second look.
@@ -121,15 +121,10 @@ def _confirm(pairs: DataFrame, payload: DataFrame, plan: Banding) -> DataFrame:
     )
 
     def check(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            one, two = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (x, y))
-            n = len(one) + len(two)
-            if not min(len(one), len(two)) or plan.den * min(len(one), len(two)) < plan.num * max(len(one), len(two)):
-                keep.append(False)
-                continue
-            union = len(np.unique(np.concatenate([one, two])))
-            keep.append(plan.den * (n - union) >= plan.num * union)
+        keep = [
+            _same_enough(np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64), plan)
+            for x, y in zip(batch.column(2), batch.column(3), strict=True)
+        ]
         mask = pa.array(keep, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
@@ -152,47 +147,66 @@ def _screened(pairs: DataFrame, payload: DataFrame, plan: Banding, table: list[t
     return arrow_map(both, check, "a bigint, b bigint")
 
 
+def _same_enough(one: np.ndarray, two: np.ndarray, plan: Banding) -> bool:
+    """Whether two sorted sets of hashes reach the threshold, in whole numbers."""
+    small, large = sorted((len(one), len(two)))
+    if not small or plan.den * small < plan.num * large:
+        return False
+    union = len(np.unique(np.concatenate([one, two])))
+    return plan.den * (small + large - union) >= plan.num * union
+
+
 def _across(members: DataFrame, labels: DataFrame, payload: DataFrame, plan: Banding, table: list[tuple[int, int]]) -> DataFrame:
-    """Screened pairs across components inside the buckets that hold several components."""
-    labelled = members.join(labels, "node", "left").select(
-        "key", "hub", "node", F.coalesce("comp", "node").alias("comp")
+    """Confirmed links across components, between nodes that shared a bucket under one hub.
+
+    Members of a hub are dealt to blocks of about BLOCK nodes with their signatures and sets; a pair
+    of blocks is compared in memory, and only links leave it. Nodes that a link has just joined
+    need no further comparison there, so a block emits fewer links than it has nodes.
+    """
+    labelled = members.where("node <> hub").select("hub", "node").distinct().join(labels, "node", "left").select(
+        "hub", "node", F.coalesce("comp", "node").alias("comp")
     )
     mixed = (
-        labelled.groupBy("key")
-        .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
-        .where("lo <> hi and n > 2")  # of two, one is the hub
-        .select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        labelled.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
+        .where("lo <> hi").select("hub", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     )
-    blocks = (
-        labelled.join(mixed, "key")
+    blocks = materialize(
+        labelled.join(mixed, "hub")
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .join(payload.select("node", "sig"), "node")
-        .groupBy("key", "hub", "block")
-        .agg(F.collect_list(F.struct("node", "comp", "sig")).alias("rows"))
+        .join(payload, "node")
+        .groupBy("hub", "block").agg(F.collect_list(F.struct("node", "comp", "sig", "set")).alias("rows"))
     )
-    blocks = materialize(blocks)
-    other = blocks.select("key", F.col("block").alias("block_b"), F.col("rows").alias("rows_b"))
-    both = blocks.join(other, "key").where("block <= block_b").select("hub", "rows", "rows_b")
+    other = blocks.select("hub", F.col("block").alias("block_b"), F.col("rows").alias("rows_b"))
+    both = blocks.join(other, "hub").where("block <= block_b").select("rows", "rows_b")
 
     def compare(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        a_out, b_out = [], []
-        for hub, one, two in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+        a_out: list[int] = []
+        b_out: list[int] = []
+        for one, two in zip(batch.column(0), batch.column(1), strict=True):
             parts = []
             for rows in (one.values, two.values):
                 node, comp = (rows.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                parts.append((node, comp, _matrix(rows.field(2), plan.hashes)))
-            (na, ca, sa), (nb, cb, sb) = parts
+                sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in rows.field(3)]
+                parts.append((node, comp.copy(), _matrix(rows.field(2), plan.hashes), sets))
+            (na, ca, sa, xa), (nb, cb, sb, xb) = parts
             for i in range(len(na)):
-                if na[i] == hub:
-                    continue
-                at = np.flatnonzero((cb != ca[i]) & (nb != hub) & (nb != na[i]))
-                at = at[_screen(np.broadcast_to(sa[i], (len(at), plan.hashes)), sb[at], table)] if len(at) else at
-                a_out.append(np.minimum(nb[at], na[i]))
-                b_out.append(np.maximum(nb[at], na[i]))
-        a, b = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (a_out, b_out))
-        yield pa.RecordBatch.from_pydict({"a": a.astype(np.int64), "b": b.astype(np.int64)})
-
-    return arrow_map(both, compare, "a bigint, b bigint").distinct()
+                at = np.flatnonzero((cb != ca[i]) & (nb != na[i]))
+                if len(at):
+                    at = at[_screen(np.broadcast_to(sa[i], (len(at), plan.hashes)), sb[at], table)]
+                for j in at.tolist():
+                    if cb[j] != ca[i] and _same_enough(xa[i], xb[j], plan):
+                        a_out.append(int(na[i]))
+                        b_out.append(int(nb[j]))
+                        old, now = cb[j], ca[i]
+                        ca[ca == old] = now
+                        cb[cb == old] = now
+        yield pa.RecordBatch.from_pydict({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
+
+    found = arrow_map(both, compare, "a bigint, b bigint", rows=8)  # a row is two blocks
+    found = materialize(found)
+    found.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    discard(blocks)
+    return found
 
 
 def link(nodes: DataFrame, fetch: Callable[[object], DataFrame], plan: Banding, miss: float, screen_hubs: bool = True) -> DataFrame:
@@ -226,7 +240,7 @@ def link(nodes: DataFrame, fetch: Callable[[object], DataFrame], plan: Banding,
         pairs = _screened(pairs, payload, plan, table)
     first = materialize(_confirm(pairs, payload, plan))
     labels = materialize(components(first))
-    second = materialize(_confirm(_across(members, labels, payload, plan, table), payload, plan))
+    second = _across(members, labels, payload, plan, table)
     final = materialize(components(first.union(second)))
     discard(keys, members, payload, first, labels, second)
     return final

@@ -28,7 +28,7 @@ from .common import _BYTE_VALUES, _range_hashes, arrow_map, list_array
 
 DIMENSIONS = 1 << 18
 #: Most labelled documents that the classifier is fitted on.
-SAMPLE = 6000
+SAMPLE = 8000
 THRESHOLD = 0.7
 #: Lengths, in bytes of UTF-8, of the word beginnings that are features beside whole words.
 BEGINNINGS = (4, 5, 6)
@@ -41,7 +41,7 @@ _STOP[[ord(c) for c in ".!?\n"]] = 1
 
 
 def sentence_features(text: str | None, dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray]:
-    """(feature, sentence) index pairs, sentences counted from 0 without empty ones."""
+    """Distinct (feature, sentence) index pairs by sentence; sentences without a word are not counted."""
     data = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), dtype=np.uint8)
     if not len(data):
         return np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int32)
@@ -71,8 +71,9 @@ def sentence_features(text: str | None, dimensions: int = DIMENSIONS) -> tuple[n
         part = data[origin : high[base:stop].max()]
         out.append(_range_hashes(part, low[base:stop] - origin, high[base:stop] - origin, _BYTE_VALUES))
         base = stop
-    hashes = np.concatenate(out)
-    return (hashes % np.uint64(dimensions)).astype(np.int32), owner.astype(np.int32)
+    feature = (np.concatenate(out) % np.uint64(dimensions)).astype(np.int64)
+    both = np.unique(owner * dimensions + feature)  # a word counts once in a sentence
+    return (both % dimensions).astype(np.int32), (both // dimensions).astype(np.int32)
 
 
 @dataclass
@@ -91,36 +92,52 @@ class Model:
         return float(-np.expm1(-np.logaddexp(0, self.sentences(features, owner)).sum())) if len(owner) else 0.0
 
 
-def _flatten(bags: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    counts = [int(o[-1]) + 1 for _, o in bags]
+def _told_apart(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dimensions: int, least: int, score: float) -> np.ndarray:
+    """Features that ``least`` documents have and whose toxic share is ``score`` standard errors off the mean."""
+    has, toxic = np.zeros(dimensions), np.zeros(dimensions)
+    for (features, _), y in zip(bags, labels, strict=True):
+        own = np.unique(features)
+        has[own] += 1
+        toxic[own] += y
+    mean = labels.mean()
+    return (has >= least) & (np.abs(toxic - has * mean) > score * np.sqrt(has * mean * (1 - mean)))
+
+
+def _flatten(bags: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, their sentences counted over all bags, and each sentence's bag."""
+    counts = [n for _, _, n in bags]
     base = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    owner = np.concatenate([o + b for (_, o), b in zip(bags, base, strict=True)])
-    return np.concatenate([f for f, _ in bags]), owner, np.repeat(np.arange(len(bags)), counts)
+    owner = np.concatenate([o + b for (_, o, _), b in zip(bags, base, strict=True)])
+    return np.concatenate([f for f, _, _ in bags]), owner, np.repeat(np.arange(len(bags)), counts)
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dimensions: int = DIMENSIONS, epochs: int = 24, batch: int = 128, rate: float = 0.2, decay: float = 2e-6) -> Model:
-    """Noisy-or likelihood by AdaGrad on mini-batches in a seeded order."""
+def train(
+    bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dimensions: int = DIMENSIONS, epochs: int = 30, batch: int = 128,
+    rate: float = 1.0, decay: float = 2e-6, least: int = 4, apart: float = 3.0, positive: float = 3.0,
+) -> Model:
+    """Noisy-or likelihood by AdaGrad on mini-batches in a seeded order; ``positive`` weighs toxic documents."""
     weights = np.zeros(dimensions + 1)
     weights[-1] = -5.0
-    kept = [i for i, (f, _) in enumerate(bags) if len(f)]
-    bags, labels = [bags[i] for i in kept], np.asarray(labels)[kept]
+    filled = [i for i, (f, _) in enumerate(bags) if len(f)]
+    bags, labels = [bags[i] for i in filled], np.asarray(labels)[filled]
     if not len(labels) or labels.min() == labels.max():
         return Model(np.concatenate([np.zeros(dimensions), [-np.inf]]))
+    useful = _told_apart(bags, labels, dimensions, least, apart)
+    cut = [(f[useful[f]], o[useful[f]], int(o[-1]) + 1) for f, o in bags]
     squares = np.full(dimensions + 1, 1e-2)
     rng = np.random.Generator(np.random.PCG64(10))
     for _ in range(epochs):
-        order = rng.permutation(len(bags))
+        order = rng.permutation(len(cut))
         for low in range(0, len(order), batch):
             part = order[low : low + batch]
-            features, owner, doc = _flatten([bags[i] for i in part])
+            features, owner, doc = _flatten([cut[i] for i in part])
             y = labels[part]
             z = np.bincount(owner, weights[features], len(doc)) + weights[-1]
-            soft = np.logaddexp(0, z)
-            total = np.maximum(np.bincount(doc, soft, len(part)), 1e-9)
-            pull = np.where(y == 1, -1 / np.expm1(np.minimum(total, 500)), 1.0)
-            slope = pull[doc] / (1 + np.exp(-z)) / len(part)
+            total = np.maximum(np.bincount(doc, np.logaddexp(0, z), len(part)), 1e-9)
+            pull = np.where(y == 1, -positive / np.expm1(np.minimum(total, 500)), 1.0)
+            slope = pull[doc] / (1 + np.exp(-np.clip(z, -50, 50))) / len(part)
             touched, at = np.unique(features, return_inverse=True)
-            grad = np.bincount(at, slope[owner]) + decay * weights[touched]
+            grad = np.bincount(at, slope[owner], len(touched)) + decay * weights[touched]
             squares[touched] += grad**2
             weights[touched] -= rate * grad / np.sqrt(squares[touched])
             grad = slope.sum()

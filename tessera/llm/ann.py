@@ -30,7 +30,7 @@ from .common import BATCH_ROWS, arrow_map, materialize
 
 TABLES = 2
 #: Probed share of a table's cells.
-PROBES = 0.4
+PROBES = 0.5
 VECTOR_BLOCK = 2048
 QUERY_BLOCK = 512
 #: Queries whose best a task keeps before it passes them on.

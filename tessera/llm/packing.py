@@ -170,8 +170,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_
         encode, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         doc, piece, length, crc, data = [], [], [], [], []
         ids = batch.column(0).to_pylist()
-        for at, text in enumerate(batch.column(1)):
-            raw = encode(text.as_py()) + end
+        for at, raw in enumerate(encode.many(batch.column(1).to_pylist())):
+            raw += end
             for k, low in enumerate(range(0, len(raw), 4 * sequence)):
                 part = raw[low : low + 4 * sequence]
                 doc.append(ids[at])

@@ -1,37 +1,80 @@
 """Whole-text token ids with public tokenizer files, as little-endian unsigned 32-bit bytes.
 
-Encoding a text equals joining the encodings of parts cut where the tokenizer itself always cuts,
-and words repeat, so parts are looked up in a bounded cache. Tokenizers whose pre-tokenization is
-not one of the two known forms encode whole texts.
+Encoding a text equals joining the encodings of parts cut where the tokenizer itself always cuts.
+Words repeat, so words and their stems (a run of letters before closing punctuation) are looked up
+in bounded caches, and the stems that a batch of texts lacks are encoded in one call. Tokenizers
+whose pre-tokenization is not one of the two known forms encode whole texts.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
-os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-
-#: Most words kept by one worker process; the cache is emptied beyond it.
-CACHE_WORDS = 300_000
-_UNEVEN = re.compile(r"\s\s|\A\s|\s\Z")
+from .common import _BYTE_VALUES, _range_hashes
 
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-class _Words(dict):
-    def __init__(self, encode, lead: str) -> None:
-        super().__init__()
-        self.encode, self.lead = encode, lead
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.encode(self.lead + word)
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = ids
-        return ids
+#: Most words, and most stems, that one worker process keeps, in two generations of half each.
+CACHE = 900_000
+#: Signs that may close a word; none starts a contraction.
+CLOSING = ".,;:!?*#$%&|"
+#: Code points of text that are looked up together.
+PIECE = 1 << 21
+_LEADS = {0: "", 0x20: " ", 0x0A: "\n"}
+
+
+class _Cache:
+    """Ids by text; when the newer half is full it becomes the older one, which is then dropped."""
+
+    def __init__(self) -> None:
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def lacking(self, keys: set[str]) -> list[str]:
+        """The keys without a value; those of the older half are brought over."""
+        if len(self.new) >= CACHE // 2:
+            self.old, self.new = self.new, {}
+        out = []
+        for key in keys - self.new.keys():
+            value = self.old.get(key)
+            if value is None:
+                out.append(key)
+            else:
+                self.new[key] = value
+        return out
+
+
+class _Words:
+    """Ids of words by 64-bit hash, in flat arrays; emptied when full."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.slot: dict[int, int] = {}
+        self.ids = np.empty(1 << 16, dtype="<u4")
+        self.start, self.length, self.used = np.empty(1 << 16, dtype=np.int64), np.empty(1 << 16, dtype=np.int64), 0
+        self.edged = np.zeros(1 << 16, dtype=np.int64)  # whether other white space begins or ends the word
+
+    def add(self, hashes: list[int], made: list[bytes], edged: list[bool]) -> None:
+        flat = np.frombuffer(b"".join(made), dtype="<u4")
+        lengths = np.fromiter(map(len, made), dtype=np.int64, count=len(made)) // 4
+        first, n = len(self.slot), len(made)
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while first + n > len(self.start):
+            self.start, self.length, self.edged = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.edged))
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.start[first : first + n] = self.used + np.cumsum(lengths) - lengths
+        self.length[first : first + n] = lengths
+        self.edged[first : first + n] = edged
+        self.used += len(flat)
+        self.slot.update(zip(hashes, range(first, first + n), strict=True))
 
 
 class Encoder:
@@ -43,9 +86,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
-        form = json.loads(self.tokenizer.to_str())
-        self.kind = self._kind(form)
-        self.plain, self.spaced, self.lined = (_Words(self._encode, lead) for lead in ("", " ", "\n"))
+        self.kind = self._kind(json.loads(self.tokenizer.to_str()))
+        self.lead = " " if self.kind == "space leads" else ""
+        self.words, self.stems = _Words(), _Cache()
 
     @staticmethod
     def _kind(form: dict) -> str:
@@ -54,30 +97,99 @@ class Encoder:
             return "space leads"
         first = (pre.get("pretokenizers") or [{}])[0]
         drops = first.get("type") == "Split" and first["invert"] and first["behavior"] == "Removed"
-        if drops and "[^\\s\\p{L}\\p{N}]+" in str(first["pattern"]) and form["model"].get("end_of_word_suffix"):
+        if drops and "[^\\s\\p{L}\\p{N}]+" in first["pattern"].get("Regex", "") and form["model"].get("end_of_word_suffix"):
             return "space dropped"
         return "whole"
 
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _made(self, words: list[tuple[str, str]]) -> list[bytes]:
+        """Ids of (white space before it, word): of stem and closing signs where that is all it has."""
+        out: list[bytes] = [b""] * len(words)
+        odd, plain = [], []
+        for i, (lead, word) in enumerate(words):
+            low = word.lower() if not self.lead and word.isascii() else word  # as the tokenizer's normalizer does
+            stem = low.rstrip(CLOSING)
+            if lead == self.lead and stem.isalpha():
+                plain.append((i, lead + stem, low[len(stem) :]))
+            else:
+                odd.append((i, lead + word))
+        for (i, _), ids in zip(odd, self._encode([w for _, w in odd]), strict=True):
+            out[i] = ids
+        stems = self.stems.lacking({p[1] for p in plain} | {p[2] for p in plain if p[2]})
+        self.stems.new.update(zip(stems, self._encode(stems), strict=True))
+        known = self.stems.new
+        for i, stem, tail in plain:
+            out[i] = known[stem] + known[tail] if tail else known[stem]
+        return out
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text."""
+        out: list[bytes] = [b""] * len(texts)
+        low, size = 0, 0
+        for high, text in enumerate(texts):
+            size += len(text or "")
+            if size > PIECE:
+                out[low : high + 1] = self._some(texts[low : high + 1])
+                low, size = high + 1, 0
+        out[low:] = self._some(texts[low:])
+        return out
+
+    def _some(self, texts: list[str | None]) -> list[bytes]:
+        if self.kind == "whole":
+            return [self._encode([t])[0] if t else b"" for t in texts]
+        raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        data = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
+        bounds = np.cumsum([len(r) + 1 for r in raw])
+        inside = np.zeros(len(data) + 1, dtype=np.int8)
+        inside[1:] = (data != 0x20) & (data != 0x0A)
+        edge = np.diff(inside)
+        starts = np.flatnonzero(edge == 1)
+        ends = np.flatnonzero(edge == -1)
+        words_upto = np.searchsorted(starts, bounds)
+        leads = data[starts - 1] if self.lead else np.zeros(len(starts), dtype=np.uint8)
+        if self.lead and len(starts):
+            first = np.concatenate([[0], words_upto[:-1]])[np.diff(np.concatenate([[0], words_upto])) > 0]
+            leads = leads.copy()
+            leads[first] = 0
+        hashes = _range_hashes(data, starts, ends, _BYTE_VALUES) + leads.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        distinct, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+        slot = self.words.slot
+        if len(slot) + len(distinct) > CACHE:
+            self.words.clear()
+            slot = self.words.slot
+        keys = distinct.tolist()
+        places = np.fromiter((slot.get(k, -1) for k in keys), dtype=np.int64, count=len(keys))
+        lacking = np.flatnonzero(places < 0)
+        if len(lacking):
+            whole = data.tobytes()
+            spans = zip(starts[at[lacking]].tolist(), ends[at[lacking]].tolist(), leads[at[lacking]].tolist(), strict=True)
+            words = [(_LEADS[k], whole[a:b].decode("utf-8", "surrogatepass")) for a, b, k in spans]
+            places[lacking] = np.arange(len(slot), len(slot) + len(lacking))
+            edged = [w[0].isspace() or w[-1].isspace() for _, w in words]
+            self.words.add([keys[i] for i in lacking.tolist()], self._made(words), edged)
+        place = places[which]
+        lengths = self.words.length[place]
+        upto = np.cumsum(lengths)
+        order = np.repeat(self.words.start[place] - upto + lengths, lengths) + np.arange(upto[-1] if len(upto) else 0)
+        ids = self.words.ids[order].tobytes()
+        cuts = np.concatenate([[0], upto])[words_upto] * 4
+        even = np.ones(len(texts), dtype=bool)
+        if self.lead:
+            # Only where all white space is single and between words do the parts stand on their own.
+            n = np.diff(np.concatenate([[0], words_upto]))
+            gaps = np.diff(np.concatenate([[0], np.cumsum(inside[1:] == 0)[bounds - 1]])) - 1
+            even = (n == gaps + 1) & (np.add.reduceat(np.concatenate([self.words.edged[place], [0]]), np.minimum(words_upto - n, len(place)))[: len(n)] * (n > 0) == 0)
+        out, low = [], 0
+        for text, is_even, high in zip(texts, even.tolist(), cuts.tolist(), strict=True):
+            out.append(ids[low:high] if is_even or not text else self._encode([text])[0])
+            low = high
+        return out
 
     def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.kind == "space dropped":
-            words = self.plain
-            return b"".join([words[w] for w in text.replace("\n", " ").split(" ") if w])
-        if self.kind == "whole" or _UNEVEN.search(text):
-            return self._encode(text)
-        # Single white space between words: a blank starts the token of the word after it, and a
-        # line feed is a token of its own.
-        lines = text.split("\n")
-        spaced, out = self.spaced, []
-        for i, line in enumerate(lines):
-            first, *rest = line.split(" ")
-            out.append(self.lined[first] if i else self.plain[first])
-            out.extend([spaced[w] for w in rest])
-        return b"".join(out)
+        return self.many([text])[0]
 
 
 @lru_cache(maxsize=4)

@@ -44,9 +44,9 @@ def test_every_oracle_has_a_query():
 
 
 def test_filters_and_columns_reach_the_scan(spark, sf_dir):
-    plan = catalogue.queries()["filter_compare_literal"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters" in plan and "GreaterThan(o_totalprice" in plan
-    assert "o_comment" not in plan and "ReadSchema" in plan
+    plan = catalogue.queries()["index_only_scan"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(o_orderkey), EqualTo(o_orderkey,100)]" in plan
+    assert "ReadSchema: struct<o_orderkey:bigint>" in plan
 
 
 def test_join_strategies_are_followed(spark, sf_dir):

@@ -17,13 +17,17 @@ table gives an empty result. Other columns are ignored (``mixture`` keeps them a
 from __future__ import annotations
 
 import heapq
+import re
+from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import arrow_map, materialize
 
 #: Weights of the sources in code-point order, repeating (fixed by the contract of the query).
 WEIGHTS = (3, 1, 2)
@@ -33,6 +37,7 @@ BLOCK_WORDS = 16
 #: Hex digits of the digest that name a shard: 256 shards per source.
 SHARD_DIGITS = 2
 SEED = "mix-1"
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def apportion(votes: list[float], seats: int) -> list[int]:
@@ -74,11 +79,11 @@ def source_targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIG
     return [(s, sizes[s], float(weight[s] * rate) if s in free else float(cap * sizes[s])) for s in names]
 
 
-def _plan(docs: DataFrame, seed: str, block: int, shard_digits: int, extra: list[str]) -> DataFrame:
+def _plan(docs: DataFrame, seed: str, block: int, shard_digits: int, rows: bool = False) -> DataFrame:
     spark = docs.sparkSession
     digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     sized = docs.select(
-        F.col("doc_id"), F.col("source"), *extra,
+        F.col("doc_id"), F.col("source"), *([F.struct("*").alias("_row")] if rows else []),
         F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint").alias("_size"),
         digest.alias("_digest"),
     )
@@ -111,7 +116,7 @@ def _plan(docs: DataFrame, seed: str, block: int, shard_digits: int, extra: list
 
 def mix(docs: DataFrame, seed: str = SEED, block: int = BLOCK_WORDS, shard_digits: int = SHARD_DIGITS) -> DataFrame:
     """(doc_id, size, source_size, target, taken) per row; taken: words the mix takes, repeats counted."""
-    plan = _plan(docs, seed, block, shard_digits, [])
+    plan = _plan(docs, seed, block, shard_digits)
     return plan.select("doc_id", F.col("_size").alias("size"), "source_size", "target", F.col("_taken").alias("taken"))
 
 
@@ -119,18 +124,21 @@ def mixture(docs: DataFrame, seed: str = SEED, block: int = BLOCK_WORDS, shard_d
     """The mix itself, in the columns of ``docs``: a document taken twice is two rows, one taken in part
     is cut after its share of words, one not taken is absent."""
     names = docs.columns
-    extra = [c for c in names if c not in ("doc_id", "source")]
-    plan = _plan(docs, seed, block, shard_digits, extra)
-    whole, rest = F.expr("_taken div _size"), F.expr("_taken % _size")
-    # White space before each word stays with it; a part ends with its last word.
-    cut = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){"), rest.cast("string"), F.lit("}"))
-    parts = F.concat(
-        F.array_repeat(F.lit(-1).cast("bigint"), whole.cast("int")),
-        F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")),
-    )
-    rows = plan.where("_taken > 0").withColumn("_cut", cut).withColumn("_part", F.explode(parts))
-    text = F.when(F.col("_part") == -1, F.col("text")).otherwise(F.regexp_extract("text", F.col("_cut"), 0))
-    rows = rows.withColumn("text", text)
+    plan = _plan(docs, seed, block, shard_digits, rows=True)
+    taken = plan.where("_taken > 0").withColumns({"_whole": F.expr("_taken div _size").cast("int"), "_rest": F.expr("_taken % _size")})
+    whole = taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_whole")))).select("_row.*")
+    at = names.index("text")
+
+    def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts = []
+        for text, words in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+            texts.append(text[: next(islice(_WORD.finditer(text), words - 1, None)).end()])
+        arrays = list(batch.columns[: len(names)])
+        arrays[at] = pa.array(texts, pa.string())
+        yield pa.RecordBatch.from_arrays(arrays, names)
+
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    part = arrow_map(taken.where("_rest > 0").select("_row.*", "_rest"), cut, columns)
     if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.when(F.col("_part") == -1, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*names)
+        part = part.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return whole.union(part.select(*names))

@@ -19,6 +19,7 @@ import hashlib
 import lzma
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -61,15 +62,22 @@ def base_spans(text: str) -> list[Span]:
 
 
 class _Layer:
-    """A decoded text; position i came from original[low[i]:high[i]] (one pair: from all of it)."""
+    """A decoded text made of pieces of its parent.
 
-    def __init__(self, text: str, low: list[int], high: list[int]) -> None:
-        self.text, self.low, self.high = text, low, high
+    A piece (at, a, b, plain) starts at ``at`` and came from parent[a:b], character by character if
+    plain and as a whole otherwise. ``place`` maps spans of the parent to the original text.
+    """
+
+    def __init__(self, text: str, pieces: list[tuple[int, int, int, bool]], place) -> None:
+        self.text, self.pieces, self.place = text, pieces, place
+        self.starts = [p[0] for p in pieces]
+
+    def _one(self, i: int) -> tuple[int, int]:
+        at, a, b, plain = self.pieces[bisect_right(self.starts, i) - 1]
+        return self.place(a + i - at, a + i - at + 1) if plain else self.place(a, b)
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
-        if len(self.low) == 1:
-            return self.low[0], self.high[0]
-        return self.low[start], self.high[end - 1]
+        return self._one(start)[0], self._one(end - 1)[1]
 
 
 def _utf8_pieces(data: bytes) -> Iterator[tuple[str, int]]:
@@ -86,37 +94,33 @@ def _utf8_pieces(data: bytes) -> Iterator[tuple[str, int]]:
 
 
 def _unescape(text: str, place) -> _Layer:
-    out, low, high, at = [], [], [], 0
+    out: list[str] = []
+    pieces: list[tuple[int, int, int, bool]] = []
+    size = at = 0
 
-    def plain(start: int, end: int) -> None:
-        for i in range(start, end):
-            a, b = place(i, i + 1)
-            out.append(text[i])
-            low.append(a)
-            high.append(b)
+    def add(chars: str, a: int, b: int, plain: bool = False) -> None:
+        nonlocal size
+        if chars:
+            out.append(chars)
+            pieces.append((size, a, b, plain))
+            size += len(chars)
 
     for m in _ESCAPE.finditer(text):
-        plain(at, m.start())
+        add(text[at : m.start()], at, m.start(), True)
         at = m.end()
         if m["url"]:
             i = m.start()
             for char, n in _utf8_pieces(bytes.fromhex(m["url"].replace("%", ""))):
-                a, b = place(i, i + 3 * n)
-                out.append(char)
-                low.append(a)
-                high.append(b)
+                add(char, i, i + 3 * n)
                 i += 3 * n
             continue
         code = int(m["ref"]) if m["ref"] else int(m["braced"] or m["four"] or m["eight"] or m["two"] or m["refhex"], 16)
         if code < 0x110000 and not 0xD800 <= code < 0xE000:
-            a, b = place(*m.span())
-            out.append(chr(code))
-            low.append(a)
-            high.append(b)
+            add(chr(code), *m.span())
         else:
-            plain(*m.span())
-    plain(at, len(text))
-    return _Layer("".join(out), low, high)
+            add(m[0], *m.span(), True)
+    add(text[at:], at, len(text), True)
+    return _Layer("".join(out), pieces, place)
 
 
 def _unfold(data: bytes) -> bytes:
@@ -167,8 +171,7 @@ def _unwrapped(text: str, place) -> Iterator[_Layer]:
             yield _unescape(text[start:done], lambda a, b, s=start: place(s + a, s + b))
     for m in _BASE64.finditer(text):
         if (inner := _decode_base64(m[0])) is not None:
-            a, b = place(*m.span())
-            yield _Layer(inner, [a], [b])
+            yield _Layer(inner, [(0, *m.span(), False)], place)
 
 
 def all_spans(text: str, base: list[Span]) -> list[Span]:
@@ -179,7 +182,7 @@ def all_spans(text: str, base: list[Span]) -> list[Span]:
         layer = work.pop()
         if not layer.text:
             continue
-        mark = (layer.low[0], layer.high[-1], hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+        mark = (*layer.origin(0, len(layer.text)), hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
         if mark in seen:
             continue
         seen.add(mark)

@@ -43,7 +43,7 @@ LEAST_GROUP = 100
 STEPS = 8
 #: Standard deviations added to each transformed statistic, so that one which is the same for most
 #: documents (no symbols, no repeats) does not make every other value an outlier.
-RIDGE = (0.05, 0.06, 0.12, 0.1)
+RIDGE = (0.05, 0.06, 0.2, 0.2)
 FEATURES = ("x0", "x1", "x2", "x3")
 
 

@@ -132,6 +132,20 @@ def char_shingles(line: bytes, width: int) -> np.ndarray:
     return np.unique(_range_hashes(data, starts, starts + n, _BYTE_VALUES))
 
 
+def span_shingles(data: np.ndarray, spans: list[tuple[int, int]], width: int) -> Iterator[np.ndarray]:
+    """For each span of at least ``width`` bytes, the hashes (with repeats) of its shingles.
+
+    The same hashes as char_shingles gives for the span's bytes, from one pass over all of them.
+    """
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE_VALUES[data] * _power("up", len(data))[: len(data)], out=total[1:])
+    n = max(0, len(data) - width + 1)
+    raw = (total[width : width + n] - total[:n]) * _power("down", len(data) + 1)[:n]
+    every = mix64(raw ^ np.uint64(width * 0xD6E8FEB86659FD93 % 2**64))
+    for start, end in spans:
+        yield every[start : end - width + 1]
+
+
 def set_digest(hashes: np.ndarray) -> tuple[int, int]:
     """128 bits, as two signed longs, that identify a set of hashes."""
     one = mix64(hashes ^ np.uint64(0x51ED270B0A1F39C1)).sum(dtype=np.uint64)

@@ -25,19 +25,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, char_shingles, discard, in_bitmap, key_bitmap, materialize
+from .common import char_shingles, discard, in_bitmap, materialize, span_shingles
 from .linking import Banding, band_batch, link
 
 NUM, DEN = 80, 100
 WIDTH = 8
-HASHES = 64
-BAND_MISS = 1e-3
+HASHES = 27
+BAND_MISS = 2e-3
 POSTERIOR_MISS = 1e-6
 #: Lines whose signature one task has made and that it leaves out when they come again.
 SEEN = 200_000
 _BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
+#: Lines are hashed together up to about this many bytes.
+PIECE = 1 << 20
+
+
+def _hashed(lines: list[bytes], width: int) -> list[np.ndarray]:
+    """Shingle hashes, with repeats, of lines longer than ``width``."""
+    out: list[np.ndarray] = []
+    low = size = 0
+    for high, line in enumerate(lines, 1):
+        size += len(line)
+        if size > PIECE or high == len(lines):
+            ends = np.cumsum([len(x) for x in lines[low:high]]).tolist()
+            spans = list(zip([0, *ends[:-1]], ends, strict=True))
+            out += span_shingles(np.frombuffer(b"".join(lines[low:high]), dtype=np.uint8), spans, width)
+            low, size = high, 0
+    return out
+
+
 def _lines(text: str | None) -> Iterator[tuple[int, bytes]]:
     """(line number, trimmed bytes) of the lines that hold a word."""
     if text:
@@ -64,21 +82,22 @@ def _staged_lines(rows: DataFrame, plan: Banding, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign, seen = plan.signer(), set()
         for batch in batches:
-            doc, key, line_no, one, two, bands = [], [], [], [], [], []
-            for doc_id, text, doc_key in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                for i, line in _lines(text.as_py()):
+            doc, key, line_no, one, two, new = [], [], [], [], [], []
+            for doc_id, text, doc_key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for i, line in _lines(text):
                     d = _digest(line)
+                    if d not in seen and len(line) > width:
+                        new.append((len(doc), line))
+                        if len(seen) < SEEN:
+                            seen.add(d)
                     doc.append(doc_id)
                     key.append(doc_key)
                     line_no.append(i)
                     one.append(d[0])
                     two.append(d[1])
-                    if d in seen or len(line) <= width:
-                        bands.append(np.empty(0, dtype=np.uint32))
-                        continue
-                    if len(seen) < SEEN:
-                        seen.add(d)
-                    bands.append(sign(char_shingles(line, width)))
+            bands: list[np.ndarray | None] = [None] * len(doc)
+            for (at, _), hashes in zip(new, _hashed([x for _, x in new], width), strict=True):
+                bands[at] = sign(hashes)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(line_no, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), band_batch(plan, bands)],
                 ["doc_id", "doc_key", "line", "d1", "d2", "bands"],
@@ -97,9 +116,9 @@ def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN, width: int =
 
     def fetch(wanted) -> DataFrame:
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sign, seen = plan.signer(), set()
+            seen: set[int] = set()
             for batch in batches:
-                node, sig, full = [], [], []
+                node, full = [], []
                 for text in batch.column(0):
                     found = [(_digest(line)[0], line) for _, line in _lines(text.as_py()) if len(line) > width]
                     if not found:
@@ -111,16 +130,15 @@ def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN, width: int =
                             continue
                         if len(seen) < SEEN:
                             seen.add(d)
-                        shingles = char_shingles(line, width)
                         node.append(d)
-                        sig.append(sign(shingles).tobytes())
-                        full.append(shingles.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sig, pa.binary()), pa.array(full, pa.binary())], ["node", "sig", "set"])
+                        full.append(line)
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(full, pa.binary())], ["node", "set"])
 
-        found = rows.select("text").mapInArrow(sets, "node bigint, sig binary, set binary")
-        return found.groupBy("node").agg(F.first("sig").alias("sig"), F.first("set").alias("set"))
+        found = rows.select("text").mapInArrow(sets, "node bigint, set binary")
+        return found.groupBy("node").agg(F.lit(None).cast("binary").alias("sig"), F.first("set").alias("set"))
 
-    linked = link(nodes, fetch, plan, POSTERIOR_MISS, screen_hubs=False)
+    # Lines travel as they are, an eighth of their shingles' size, and are cut where they are compared.
+    linked = link(nodes, fetch, plan, POSTERIOR_MISS, screened=False, unpack=lambda line: char_shingles(line, width))
     keeper = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line", "doc_key"))
     groups = materialize(staged.groupBy("d1", "d2").agg(keeper.alias("first"), F.count("*").alias("n")))
     classes = groups.join(linked, F.col("d1") == F.col("node"), "left").select("d1", "d2", "first", "n", F.col("comp"))
@@ -140,45 +158,29 @@ def dedup_lines(docs: DataFrame, drop_emptied: bool = False, counts: bool = Fals
     """``docs`` with repeated lines removed from the text.
 
     drop_emptied: leave out the rows that had lines and lose all of them. counts: add n_lines and
-    n_removed. Documents that lose nothing are never shuffled.
+    n_removed.
     """
     removed = removed_lines(docs, **options)
-    per_doc = materialize(removed.groupBy("doc_id", "doc_key").agg(F.array_sort(F.collect_list("line")).alias("_gone")))  # one document
-    touched = key_bitmap(per_doc, "doc_key")
+    gone = removed.groupBy("doc_id", "doc_key").agg(F.collect_list("line").alias("_lost"))  # one document's
     names = docs.columns
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit(""))))
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema)
-
-    def split(hit: bool):
-        def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            found = in_bitmap(touched.value, batch.column(len(names)).to_numpy(zero_copy_only=False))
-            yield batch.filter(pa.array(found if hit else ~found))
-
-        return arrow_map(keyed, run, columns)
-
-    there = per_doc.select(F.col("doc_id").alias("_id"), F.col("doc_key").alias("_doc_key"), "_gone")
-    match = F.col("_key") == F.col("_doc_key")
-    hit = split(True).join(there, match & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), "left").drop("_id", "_doc_key")
-    both = hit.unionByName(split(False).withColumn("_gone", F.lit(None).cast("array<int>")))
-    at_text = names.index("text")
-
-    def rebuild(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts, n, gone_n = [], [], []
-        for text, gone in zip(batch.column(at_text).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True):
-            n.append(sum(1 for _ in _lines(text)))
-            gone_n.append(len(gone or ()))
-            if gone:
-                out = set(gone)
-                text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in out)
-            texts.append(text)
-        arrays = list(batch.columns[: len(names)])
-        arrays[at_text] = pa.array(texts, pa.string())
-        yield pa.RecordBatch.from_arrays([*arrays, pa.array(n, pa.int64()), pa.array(gone_n, pa.int64())], [*names, "n_lines", "n_removed"])
-
-    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = arrow_map(both, rebuild, f"{plain}, n_lines bigint, n_removed bigint")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit(""))).alias("_key"))
+    both = keyed.join(gone, (F.col("_key") == F.col("doc_key")) & F.col("_id").eqNullSafe(F.col("doc_id")), "left")
+    text = F.col("_row")["text"]
+    lines = F.split(text, "\n", -1)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_lost"))
+    cleaned = F.when(F.col("_lost").isNull(), text).otherwise(F.transform(F.array(lines), lambda x: F.array_join(F.transform(kept, lambda i: F.get(x, i)), "\n"))[0])  # split once
+    n_lines = F.coalesce(F.size(F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0)).cast("bigint")
+    n_removed = F.coalesce(F.size("_lost"), F.lit(0)).cast("bigint")
+    n_removed = F.when(F.col("_lost").isNull(), 0).otherwise(n_removed).cast("bigint")
+    n_lines = F.when(text.isNull(), 0).otherwise(n_lines).cast("bigint")
     if drop_emptied:
-        out = out.where("n_lines = 0 or n_removed < n_lines")
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out if counts else out.drop("n_lines", "n_removed")
+        both = both.where(F.col("_lost").isNull() | (n_removed < n_lines))
+    out = []
+    for f in docs.schema.fields:
+        value = F.col("_row")[f.name]
+        if f.name == "text":
+            value = cleaned
+        elif f.name == "n_chars":
+            value = F.when(F.col("_lost").isNull(), value).otherwise(F.length(cleaned)).cast(f.dataType)
+        out.append(value.alias(f.name))
+    return both.select(*out, *([n_lines.alias("n_lines"), n_removed.alias("n_removed")] if counts else []))

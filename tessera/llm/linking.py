@@ -1,16 +1,17 @@
 """Near-duplicate linking shared by the document and the line operators.
 
 Nodes carry band keys of a MinHash signature. A bucket (nodes with one band key) is never expanded
-into its pairs. Each member is first compared with the bucket's smallest node; components of the
-confirmed links follow. Only buckets that still hold members of different components are looked at
-again, in blocks of bounded size, and only pairs across components whose signatures pass the
-screen leave a block. Every link is confirmed on the full sets.
+into its pairs. Each member is first compared with the bucket's smallest node, its hub. Where a hub
+has members that are not linked to it, its members are looked at again, in blocks of bounded size,
+and only confirmed links leave a block. Every link is confirmed on the full sets; components of all
+links follow.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from math import comb
 
 import numpy as np
@@ -19,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    BATCH_ROWS, arrow_map, components, discard, in_bitmap, key_bitmap, list_array, materialize, mix64,
+    BATCH_ROWS, arrow_map, components, discard, in_bitmap, key_bitmap, materialize, mix64,
 )
 
-#: Members of a bucket per block in the second look.
+#: Members of a hub per block in the second look.
 BLOCK = 64
+#: Distinct hashes of a pair of blocks that are compared in one product.
+COLUMNS = 8192
 
 
 @dataclass(frozen=True)
@@ -48,21 +51,21 @@ class Banding:
     def hashes(self) -> int:
         return self.rows * self.bands
 
-    def _coefficients(self) -> tuple[np.ndarray, np.ndarray]:
+    def signer(self) -> Callable[[np.ndarray], np.ndarray]:
+        """A function from 64-bit hashes to their signature (uint32).
+
+        The hashes are random already, so odd factors alone reorder them.
+        """
         rng = np.random.Generator(np.random.PCG64(0xB4D))
-        flips = rng.integers(0, 2**32, (self.hashes, 1), dtype=np.uint64).astype(np.uint32)
         factors = rng.integers(0, 2**32, (self.hashes, 1), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-        return flips, factors
-
-    def signer(self) -> Callable[[np.ndarray], np.ndarray]:
-        """A function from a set of 64-bit hashes to its signature (uint32)."""
-        flips, factors = self._coefficients()
 
         def sign(hashes: np.ndarray) -> np.ndarray:
             x = (hashes >> np.uint64(32)).astype(np.uint32)
+            if len(x) <= 2048:
+                return (x * factors).min(axis=1)
             out = np.full(self.hashes, 0xFFFFFFFF, dtype=np.uint32)
             for at in range(0, len(x), 2048):
-                np.minimum(out, ((x[at : at + 2048] ^ flips) * factors).min(axis=1), out=out)
+                np.minimum(out, (x[at : at + 2048] * factors).min(axis=1), out=out)
             return out
 
         return sign
@@ -107,11 +110,16 @@ def _screen(left: np.ndarray, right: np.ndarray, table: list[tuple[int, int]]) -
     return alive
 
 
+def stored_set(data: bytes) -> np.ndarray:
+    """The set of a payload that holds sorted distinct 64-bit hashes."""
+    return np.frombuffer(data, dtype=np.uint64)
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, width)
 
 
-def _confirm(pairs: DataFrame, payload: DataFrame, plan: Banding) -> DataFrame:
+def _confirm(pairs: DataFrame, payload: DataFrame, plan: Banding, unpack: Callable[[bytes], np.ndarray]) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     sets = payload.select("node", "set")
     both = (
@@ -121,9 +129,10 @@ def _confirm(pairs: DataFrame, payload: DataFrame, plan: Banding) -> DataFrame:
     )
 
     def check(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        cached = lru_cache(maxsize=256)(unpack)  # rows of one hub follow each other
         keep = [
-            _same_enough(np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64), plan)
-            for x, y in zip(batch.column(2), batch.column(3), strict=True)
+            _same_enough(cached(x), cached(y), plan)
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
         ]
         mask = pa.array(keep, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
@@ -148,23 +157,42 @@ def _screened(pairs: DataFrame, payload: DataFrame, plan: Banding, table: list[t
 
 
 def _same_enough(one: np.ndarray, two: np.ndarray, plan: Banding) -> bool:
-    """Whether two sorted sets of hashes reach the threshold, in whole numbers."""
-    small, large = sorted((len(one), len(two)))
-    if not small or plan.den * small < plan.num * large:
+    """Whether two sorted sets reach the threshold, in whole numbers."""
+    small, large = (one, two) if len(one) <= len(two) else (two, one)
+    if not len(small) or plan.den * len(small) < plan.num * len(large):
         return False
-    union = len(np.unique(np.concatenate([one, two])))
-    return plan.den * (small + large - union) >= plan.num * union
-
-
-def _across(members: DataFrame, labels: DataFrame, payload: DataFrame, plan: Banding, table: list[tuple[int, int]]) -> DataFrame:
-    """Confirmed links across components, between nodes that shared a bucket under one hub.
+    both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return plan.den * both >= plan.num * (len(one) + len(two) - both)
+
+
+def _shared(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of ``one`` with each of ``two``: products of 0/1 matrices."""
+    sets = [*one, *two]
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(one), len(two)))
+    for low in range(0, int(column[-1]) + 1, COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        part[row[a:b], column[a:b] - low] = 1
+        out += part[: len(one)] @ part[len(one) :].T
+    return out
+
+
+def _across(
+    members: DataFrame, first: DataFrame, payload: DataFrame, plan: Banding, table: list[tuple[int, int]], unpack: Callable[[bytes], np.ndarray], screened: bool
+) -> DataFrame:
+    """Confirmed links between nodes that shared a bucket under one hub and are not both linked to it.
 
     Members of a hub are dealt to blocks of about BLOCK nodes with their signatures and sets; a pair
     of blocks is compared in memory, and only links leave it. Nodes that a link has just joined
     need no further comparison there, so a block emits fewer links than it has nodes.
     """
-    labelled = members.where("node <> hub").select("hub", "node").distinct().join(labels, "node", "left").select(
-        "hub", "node", F.coalesce("comp", "node").alias("comp")
+    linked = first.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.lit(True).alias("linked"))
+    labelled = members.where("node <> hub").select("hub", "node").distinct().join(linked, ["node", "hub"], "left").select(
+        "hub", "node", F.when(F.col("linked"), F.col("hub")).otherwise(F.col("node")).alias("comp")
     )
     mixed = (
         labelled.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
@@ -183,23 +211,32 @@ def _across(members: DataFrame, labels: DataFrame, payload: DataFrame, plan: Ban
         a_out: list[int] = []
         b_out: list[int] = []
         for one, two in zip(batch.column(0), batch.column(1), strict=True):
-            parts = []
-            for rows in (one.values, two.values):
-                node, comp = (rows.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in rows.field(3)]
-                parts.append((node, comp.copy(), _matrix(rows.field(2), plan.hashes), sets))
-            (na, ca, sa, xa), (nb, cb, sb, xb) = parts
-            for i in range(len(na)):
-                at = np.flatnonzero((cb != ca[i]) & (nb != na[i]))
-                if len(at):
-                    at = at[_screen(np.broadcast_to(sa[i], (len(at), plan.hashes)), sb[at], table)]
-                for j in at.tolist():
-                    if cb[j] != ca[i] and _same_enough(xa[i], xb[j], plan):
-                        a_out.append(int(na[i]))
-                        b_out.append(int(nb[j]))
-                        old, now = cb[j], ca[i]
-                        ca[ca == old] = now
-                        cb[cb == old] = now
+            (na, ca, ga, xa), (nb, cb, gb, xb) = (
+                (r.field(0).to_pylist(), r.field(1).to_numpy(zero_copy_only=False).copy(), r.field(2), r.field(3).to_pylist()) for r in (one.values, two.values)
+            )
+            open_pairs = ca[:, None] != cb[None, :]
+            if screened and open_pairs.any():
+                left, right = _matrix(ga, plan.hashes), _matrix(gb, plan.hashes)
+                for i in range(len(na)):
+                    at = np.flatnonzero(open_pairs[i])
+                    alive = at[_screen(np.broadcast_to(left[i], (len(at), plan.hashes)), right[at], table)] if len(at) else at
+                    open_pairs[i] = False
+                    open_pairs[i, alive] = True
+            rows, columns = np.flatnonzero(open_pairs.any(axis=1)), np.flatnonzero(open_pairs.any(axis=0))
+            if not len(rows):
+                continue
+            set_a, set_b = [unpack(xa[i]) for i in rows], [unpack(xb[j]) for j in columns]
+            both = _shared(set_a, set_b)
+            whole = np.array([len(x) for x in set_a])[:, None] + np.array([len(x) for x in set_b])[None, :] - both
+            alike = (plan.den * both >= plan.num * whole) & open_pairs[np.ix_(rows, columns)]
+            for i, j in zip(*np.nonzero(alike), strict=True):
+                i, j = rows[i], columns[j]
+                if ca[i] != cb[j]:
+                    a_out.append(na[i])
+                    b_out.append(nb[j])
+                    old, now = cb[j], ca[i]
+                    ca[ca == old] = now
+                    cb[cb == old] = now
         yield pa.RecordBatch.from_pydict({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
 
     found = arrow_map(both, compare, "a bigint, b bigint", rows=8)  # a row is two blocks
@@ -209,11 +246,15 @@ def _across(members: DataFrame, labels: DataFrame, payload: DataFrame, plan: Ban
     return found
 
 
-def link(nodes: DataFrame, fetch: Callable[[object], DataFrame], plan: Banding, miss: float, screen_hubs: bool = True) -> DataFrame:
+def link(
+    nodes: DataFrame, fetch: Callable[[object], DataFrame], plan: Banding, miss: float, screened: bool = True,
+    unpack: Callable[[bytes], np.ndarray] = stored_set,
+) -> DataFrame:
     """(node, comp) for every node that has a link; comp is the smallest node reachable.
 
     nodes: node bigint, bands array<bigint>. fetch: from a broadcast bitmap of nodes to at least
-    those nodes' (node bigint, sig binary, set binary of sorted uint64), one row each.
+    those nodes' (node bigint, sig binary, set binary), one row each; sig may be null where nothing
+    is screened. unpack: from the set's binary to the set.
     """
     exploded = nodes.select("node", F.explode("bands").alias("key"))
     keys = materialize(
@@ -236,18 +277,19 @@ def link(nodes: DataFrame, fetch: Callable[[object], DataFrame], plan: Banding,
 
     table = plan.screen_table(miss)
     pairs = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    if screen_hubs:
+    if screened:
         pairs = _screened(pairs, payload, plan, table)
-    first = materialize(_confirm(pairs, payload, plan))
-    labels = materialize(components(first))
-    second = _across(members, labels, payload, plan, table)
+    first = materialize(_confirm(pairs, payload, plan, unpack))
+    second = _across(members, first, payload, plan, table, unpack, screened)
     final = materialize(components(first.union(second)))
-    discard(keys, members, payload, first, labels, second)
+    discard(keys, members, payload, first, second)
     return final
 
 
-def band_batch(plan: Banding, signatures: list[np.ndarray]) -> pa.ListArray:
-    """Band keys as a list column; an empty signature gives an empty list."""
-    full = [s for s in signatures if len(s)]
-    keys = iter(plan.keys(np.stack(full)) if full else [])
-    return list_array([next(keys) if len(s) else np.empty(0, dtype=np.int64) for s in signatures], pa.int64())
+def band_batch(plan: Banding, signatures: list[np.ndarray | None]) -> pa.ListArray:
+    """Band keys as a list column; None gives an empty list."""
+    full = [x for x in signatures if x is not None]
+    keys = plan.keys(np.concatenate(full).reshape(len(full), plan.hashes)).ravel() if full else np.empty(0, dtype=np.int64)
+    offsets = np.zeros(len(signatures) + 1, dtype=np.int32)
+    np.cumsum([0 if x is None else plan.bands for x in signatures], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys, type=pa.int64()))

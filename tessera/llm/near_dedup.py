@@ -45,7 +45,7 @@ def near_duplicates(
             d1, d2 = set_digest(shingles) if len(shingles) else (None, None)
             one.append(d1)
             two.append(d2)
-            signatures.append(sign(shingles) if len(shingles) else np.empty(0, dtype=np.uint32))
+            signatures.append(sign(shingles) if len(shingles) else None)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), band_batch(plan, signatures)],
             ["doc_id", "n_shingles", "d1", "d2", "bands"],

@@ -21,6 +21,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Most words, and most stems, that one worker process keeps, in two generations of half each.
 CACHE = 900_000
+CACHE_TAILS = 10_000
+#: Letters below are composed, have lower case one by one, and are letters in every Unicode version.
+LATIN = "\u0130"
 #: Signs that may close a word; none starts a contraction.
 CLOSING = ".,;:!?*#$%&|"
 #: Code points of text that are looked up together.
@@ -28,6 +31,16 @@ PIECE = 1 << 21
 _LEADS = {0: "", 0x20: " ", 0x0A: "\n"}
 
 
+def _spelled() -> dict[int, str]:
+    """Byte-level models spell bytes as characters: visible ones as themselves, the rest from U+0100 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(0x100 + i) for i, b in enumerate(hidden)}
+
+
+_SPELLED = _spelled()
+
+
 class _Cache:
     """Ids by text; when the newer half is full it becomes the older one, which is then dropped."""
 
@@ -89,6 +102,7 @@ class Encoder:
         self.kind = self._kind(json.loads(self.tokenizer.to_str()))
         self.lead = " " if self.kind == "space leads" else ""
         self.words, self.stems = _Words(), _Cache()
+        self.tails: dict[str, bytes] = {}
 
     @staticmethod
     def _kind(form: dict) -> str:
@@ -101,6 +115,20 @@ class Encoder:
             return "space dropped"
         return "whole"
 
+    def _model_ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts of letters alone: one word to the pre-tokenizer, so the model is asked directly."""
+        out, tokenize, odd = [b""] * len(texts), self.tokenizer.model.tokenize, []
+        for i, text in enumerate(texts):
+            # Beyond Latin letters the normalizer might have more to do than lower case.
+            if max(text) < LATIN:
+                spelled = text if not self.lead and text.isascii() else text.encode().decode("latin-1").translate(_SPELLED)
+                out[i] = array("I", [t.id for t in tokenize(spelled)]).tobytes()
+            else:
+                odd.append(i)
+        for i, ids in zip(odd, self._encode([texts[i] for i in odd]), strict=True):
+            out[i] = ids
+        return out
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
@@ -110,19 +138,23 @@ class Encoder:
         out: list[bytes] = [b""] * len(words)
         odd, plain = [], []
         for i, (lead, word) in enumerate(words):
-            low = word.lower() if not self.lead and word.isascii() else word  # as the tokenizer's normalizer does
+            low = word.lower() if not self.lead and word and max(word) < LATIN else word  # as the tokenizer's normalizer does
             stem = low.rstrip(CLOSING)
-            if lead == self.lead and stem.isalpha():
+            if lead == self.lead and stem.isalpha() and (self.lead or low.islower()):
                 plain.append((i, lead + stem, low[len(stem) :]))
             else:
                 odd.append((i, lead + word))
         for (i, _), ids in zip(odd, self._encode([w for _, w in odd]), strict=True):
             out[i] = ids
-        stems = self.stems.lacking({p[1] for p in plain} | {p[2] for p in plain if p[2]})
-        self.stems.new.update(zip(stems, self._encode(stems), strict=True))
+        stems = self.stems.lacking({p[1] for p in plain})
+        self.stems.new.update(zip(stems, self._model_ids(stems), strict=True))
+        tails = {p[2] for p in plain if p[2]} - self.tails.keys()
+        self.tails.update(zip(tails, self._encode(list(tails)), strict=True))
         known = self.stems.new
         for i, stem, tail in plain:
-            out[i] = known[stem] + known[tail] if tail else known[stem]
+            out[i] = known[stem] + self.tails[tail] if tail else known[stem]
+        if len(self.tails) > CACHE_TAILS:
+            self.tails.clear()
         return out
 
     def many(self, texts: list[str | None]) -> list[bytes]:
@@ -138,6 +170,8 @@ class Encoder:
         return out
 
     def _some(self, texts: list[str | None]) -> list[bytes]:
+        if not texts:
+            return []
         if self.kind == "whole":
             return [self._encode([t])[0] if t else b"" for t in texts]
         raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]

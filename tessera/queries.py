@@ -468,6 +468,65 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(stats["rows"], float(price["min"]), float(price["max"]))], "n bigint, low double, high double")
 
 
+@_query("values_source", "SELECT * FROM (VALUES (1, 'a', CAST(1.5 AS DOUBLE)), (2, NULL, CAST(2.5 AS DOUBLE))) AS t (id, name, x)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    session = _must(_stored(spark, d), "CREATE TABLE t (id INT, name VARCHAR, x DOUBLE)", "INSERT INTO t VALUES (1, 'a', 1.5), (2, NULL, 2.5)")
+    return session.sql("SELECT id, name, x FROM t")
+
+
+@_query("serial_ids", "SELECT r_name AS name, CAST(row_number() OVER (ORDER BY r_regionkey) AS INTEGER) AS id FROM region")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    session = _must(_stored(spark, d), "CREATE TABLE t (id SERIAL, name VARCHAR)")
+    for row in table(spark, d, "region").orderBy("r_regionkey").collect():  # five regions
+        if not session.execute("INSERT INTO t (name) VALUES ($1)", [row.r_name]).ok:
+            raise RuntimeError("insert failed")
+    return session.sql("SELECT name, id FROM t")
+
+
+@_query("snapshot_read", "SELECT n_nationkey, n_name FROM nation")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """A transaction keeps reading the version it began with while another session deletes rows."""
+    reader = _must(_stored(spark, d, "nation"), "BEGIN")
+    _must(Session(spark, reader.store.root), "DELETE FROM nation WHERE n_nationkey > 5")
+    return reader.sql("SELECT n_nationkey, n_name FROM nation")
+
+
+@_query("rolled_back_transaction", "SELECT r_regionkey FROM region")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    session = _must(_stored(spark, d, "region"), "BEGIN", "DELETE FROM region WHERE r_regionkey > 1", "ROLLBACK")
+    return session.sql("SELECT r_regionkey FROM region")
+
+
+@_query("show_stats", "SELECT * FROM (VALUES ('tables', '2'), ('views', '1'), ('indexes', '1'), ('sequences', '0'), ('functions', '0'), ('procedures', '0'), ('triggers', '0')) AS t (metric, value)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    session = _must(_stored(spark, d, "nation", "region"), "CREATE VIEW v AS SELECT n_name FROM nation", "CREATE INDEX i ON nation (n_nationkey) USING HASH")
+    return session.sql("SHOW STATS")
+
+
+@_query("view_join_aggregate", "SELECT r_name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    session = _must(_stored(spark, d, "nation", "region"), "CREATE VIEW n2 AS SELECT n_name, n_regionkey FROM nation")
+    return session.sql("SELECT r_name, COUNT(*) AS n FROM n2 JOIN region ON n2.n_regionkey = region.r_regionkey GROUP BY r_name")
+
+
+@_query("change_log_replication", "SELECT CAST(n_nationkey AS VARCHAR) AS key, n_name AS value FROM nation WHERE n_nationkey % 3 = 0 AND n_nationkey <> 6")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Three transactions put the nations by key modulo 3; the second rolls back, the third never ends; a fourth deletes one."""
+    from .streaming.replication import Replica
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    replica = Replica(spark, f"{shared}/tessera/{uuid.uuid4().hex}")
+    puts = table(spark, d, "nation").select(
+        (F.col("n_nationkey") % 3).cast("bigint").alias("txn"), F.col("n_nationkey").cast("bigint").alias("seq"), F.lit("put").alias("op"),
+        F.col("n_nationkey").cast("string").alias("key"), F.col("n_name").alias("value"),
+    )
+    schema = "txn bigint, seq bigint, op string, key string, value string"
+    replica.apply(puts.union(spark.createDataFrame([(0, 100, "commit", None, None)], schema)), 0)
+    later = [(1, 101, "rollback", None, None), (9, 102, "delete", "6", None), (9, 103, "commit", None, None)]
+    replica.apply(spark.createDataFrame(later, schema), 1)
+    return replica.rows()
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filter, join, group, order and limit over orders and customers, through the dialect."""
     return dialect(

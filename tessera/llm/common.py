@@ -110,6 +110,15 @@ def word_hashes(text: str, fold_case: bool = True) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
 
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    out = np.sort(hashes)
+    new = np.empty(len(out), dtype=bool)
+    new[:1] = True
+    np.not_equal(out[1:], out[:-1], out=new[1:])
+    return out[new]
+
+
 def word_shingles(text: str | None, width: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the word shingles; a shorter sequence counts as one shingle."""
     words = word_hashes(text) if text else np.empty(0, dtype=np.uint64)
@@ -119,23 +128,23 @@ def word_shingles(text: str | None, width: int = 5) -> np.ndarray:
     total = np.full(len(words) - n + 1, n, dtype=np.uint64)
     for k in range(n):
         total = mix64(total * np.uint64(0x9FB21C651E98DF25) + words[k : len(words) - n + 1 + k])
-    return np.unique(total)
+    return distinct(total)
 
 
-def char_shingles(line: bytes, width: int) -> np.ndarray:
-    """Sorted distinct hashes of a line's shingles of ``width`` UTF-8 bytes; shorter: one shingle."""
-    if not line:
-        return np.empty(0, dtype=np.uint64)
+def byte_windows(line: bytes, width: int) -> np.ndarray:
+    """One 64-bit number per window of ``width`` bytes, equal for equal windows; shorter: one number."""
     data = np.frombuffer(line, dtype=np.uint8)
     n = min(width, len(data))
+    if n == 8:
+        return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view(np.uint64).ravel()
     starts = np.arange(len(data) - n + 1)
-    return np.unique(_range_hashes(data, starts, starts + n, _BYTE_VALUES))
+    return _range_hashes(data, starts, starts + n, _BYTE_VALUES)
 
 
 def span_shingles(data: np.ndarray, spans: list[tuple[int, int]], width: int) -> Iterator[np.ndarray]:
     """For each span of at least ``width`` bytes, the hashes (with repeats) of its shingles.
 
-    The same hashes as char_shingles gives for the span's bytes, from one pass over all of them.
+    One pass over all of them; a hash depends on the shingle alone.
     """
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_BYTE_VALUES[data] * _power("up", len(data))[: len(data)], out=total[1:])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import char_shingles, discard, in_bitmap, materialize, span_shingles
+from .common import byte_windows, discard, in_bitmap, materialize, span_shingles
 from .linking import Banding, band_batch, link
 
 NUM, DEN = 80, 100
@@ -138,7 +138,7 @@ def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN, width: int =
         return found.groupBy("node").agg(F.lit(None).cast("binary").alias("sig"), F.first("set").alias("set"))
 
     # Lines travel as they are, an eighth of their shingles' size, and are cut where they are compared.
-    linked = link(nodes, fetch, plan, POSTERIOR_MISS, screened=False, unpack=lambda line: char_shingles(line, width))
+    linked = link(nodes, fetch, plan, POSTERIOR_MISS, screened=False, unpack=lambda line: byte_windows(line, width))
     keeper = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line", "doc_key"))
     groups = materialize(staged.groupBy("d1", "d2").agg(keeper.alias("first"), F.count("*").alias("n")))
     classes = groups.join(linked, F.col("d1") == F.col("node"), "left").select("d1", "d2", "first", "n", F.col("comp"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    BATCH_ROWS, arrow_map, components, discard, in_bitmap, key_bitmap, materialize, mix64,
+    BATCH_ROWS, arrow_map, components, discard, distinct, in_bitmap, key_bitmap, materialize, mix64,
 )
 
 #: Members of a hub per block in the second look.
@@ -119,7 +119,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, width)
 
 
-def _confirm(pairs: DataFrame, payload: DataFrame, plan: Banding, unpack: Callable[[bytes], np.ndarray]) -> DataFrame:
+def _confirm(pairs: DataFrame, payload: DataFrame, plan: Banding, unpack: Callable[[bytes], np.ndarray], sorted_sets: bool) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     sets = payload.select("node", "set")
     both = (
@@ -129,7 +129,7 @@ def _confirm(pairs: DataFrame, payload: DataFrame, plan: Banding, unpack: Callab
     )
 
     def check(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        cached = lru_cache(maxsize=256)(unpack)  # rows of one hub follow each other
+        cached = lru_cache(maxsize=256)(lambda data: unpack(data) if sorted_sets else distinct(unpack(data)))  # rows of one hub follow each other
         keep = [
             _same_enough(cached(x), cached(y), plan)
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
@@ -165,20 +165,26 @@ def _same_enough(one: np.ndarray, two: np.ndarray, plan: Banding) -> bool:
     return plan.den * both >= plan.num * (len(one) + len(two) - both)
 
 
-def _shared(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of each set of ``one`` with each of ``two``: products of 0/1 matrices."""
+def _shared(one: list[np.ndarray], two: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intersection sizes of each set of ``one`` with each of ``two``, and both sides' sizes.
+
+    Products of 0/1 matrices; hashes may repeat inside a set.
+    """
     sets = [*one, *two]
     _, column = np.unique(np.concatenate(sets), return_inverse=True)
     row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    out = np.zeros((len(one), len(two)))
-    for low in range(0, int(column[-1]) + 1, COLUMNS):
-        a, b = np.searchsorted(column, [low, low + COLUMNS])
-        part = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+    width = int(column.max()) + 1
+    if width > COLUMNS:
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+    out, sizes = np.zeros((len(one), len(two))), np.zeros(len(sets))
+    for low in range(0, width, COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS]) if width > COLUMNS else (0, len(column))
+        part = np.zeros((len(sets), min(COLUMNS, width - low)), dtype=np.float32)
         part[row[a:b], column[a:b] - low] = 1
         out += part[: len(one)] @ part[len(one) :].T
-    return out
+        sizes += part.sum(axis=1)
+    return out, sizes[: len(one)], sizes[len(one) :]
 
 
 def _across(
@@ -226,8 +232,8 @@ def _across(
             if not len(rows):
                 continue
             set_a, set_b = [unpack(xa[i]) for i in rows], [unpack(xb[j]) for j in columns]
-            both = _shared(set_a, set_b)
-            whole = np.array([len(x) for x in set_a])[:, None] + np.array([len(x) for x in set_b])[None, :] - both
+            both, size_a, size_b = _shared(set_a, set_b)
+            whole = size_a[:, None] + size_b[None, :] - both
             alike = (plan.den * both >= plan.num * whole) & open_pairs[np.ix_(rows, columns)]
             for i, j in zip(*np.nonzero(alike), strict=True):
                 i, j = rows[i], columns[j]
@@ -254,7 +260,8 @@ def link(
 
     nodes: node bigint, bands array<bigint>. fetch: from a broadcast bitmap of nodes to at least
     those nodes' (node bigint, sig binary, set binary), one row each; sig may be null where nothing
-    is screened. unpack: from the set's binary to the set.
+    is screened. unpack: from the set's binary to its hashes,
+    in any order and with repeats.
     """
     exploded = nodes.select("node", F.explode("bands").alias("key"))
     keys = materialize(
@@ -279,7 +286,7 @@ def link(
     pairs = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     if screened:
         pairs = _screened(pairs, payload, plan, table)
-    first = materialize(_confirm(pairs, payload, plan, unpack))
+    first = materialize(_confirm(pairs, payload, plan, unpack, unpack is stored_set))
     second = _across(members, first, payload, plan, table, unpack, screened)
     final = materialize(components(first.union(second)))
     discard(keys, members, payload, first, second)

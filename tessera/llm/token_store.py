@@ -43,28 +43,44 @@ FAN = 1024
 SEEN = 200_000
 
 
-def cut_points(ids: np.ndarray, minimum: int = MINIMUM, maximum: int = MAXIMUM, mask_bits: int = MASK_BITS) -> list[int]:
-    """Ends of the content-defined chunks of an id stream (the last is its length)."""
-    h = mix64(ids.astype(np.uint64) + np.uint64(0x9E37))
+_GEAR = mix64(np.arange(1 << 16, dtype=np.uint64) + np.uint64(0x9E37))
+
+
+def _marks(ids: np.ndarray, mask_bits: int) -> np.ndarray:
+    """Places (after an id) where the hash of the last WINDOW ids ends in ``mask_bits`` zero bits."""
+    h = _GEAR[ids] if len(ids) and ids.max() < len(_GEAR) else mix64(ids.astype(np.uint64) + np.uint64(0x9E37))
     factor, reach = 0x9E3779B97F4A7C15, 1
     while reach < WINDOW:
-        older = np.zeros_like(h)
-        older[reach:] = h[:-reach] if reach < len(h) else 0
-        h = h + older * np.uint64(pow(factor, reach, 2**64))
-        reach *= 2
-    marks = np.flatnonzero(mix64(h) >> np.uint64(64 - mask_bits) == 0) + 1
-    ends, last = [], 0
-    for mark in marks.tolist():
-        while mark - last > maximum:
+        sums = h.copy()
+        sums[reach:] += h[:-reach] * np.uint64(pow(factor, reach, 2**64)) if reach < len(h) else 0
+        h, reach = sums, 2 * reach
+    return np.flatnonzero(h * np.uint64(0xD6E8FEB86659FD93) < np.uint64(1 << (64 - mask_bits))) + 1
+
+
+def cut_points(ids: np.ndarray, bounds: list[int] | None = None, minimum: int = MINIMUM, maximum: int = MAXIMUM, mask_bits: int = MASK_BITS) -> list[int]:
+    """Ends of the content-defined chunks of the documents that end at ``bounds`` (default: one).
+
+    Documents are hashed together: a window that reaches into the document before ends nearer to
+    the start than the least chunk, where no cut is made.
+    """
+    bounds = [len(ids)] if bounds is None else bounds
+    marks = _marks(ids, mask_bits)
+    split = np.searchsorted(marks, bounds).tolist()
+    ends, last, at = [], 0, 0
+    for bound, upto in zip(bounds, split, strict=True):
+        for mark in marks[at:upto].tolist():
+            while mark - last > maximum:
+                last += maximum
+                ends.append(last)
+            if mark - last >= minimum and mark < bound:
+                ends.append(mark)
+                last = mark
+        while bound - last > maximum:
             last += maximum
             ends.append(last)
-        if mark - last >= minimum and mark < len(ids):
-            ends.append(mark)
-            last = mark
-    while len(ids) - last > maximum:
-        last += maximum
-        ends.append(last)
-    return [*ends, len(ids)]
+        ends.append(bound)
+        last, at = bound, upto
+    return ends
 
 
 def _digest(data: bytes) -> bytes:
@@ -82,18 +98,24 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -
         uid, seen = TaskContext.get().partitionId() << 40, set()
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(encode(text.as_py()) + end, dtype="<u4")
-                low, hashes = 0, []
-                for high in cut_points(ids):
-                    data = ids[low:high].astype(kind).tobytes()
+            raw = [r + end for r in encode.many(batch.column(1).to_pylist())]
+            bounds = np.cumsum([len(r) // 4 for r in raw]).tolist()
+            ids = np.frombuffer(b"".join(raw), dtype="<u4")
+            stored, width = ids.astype(kind).tobytes(), np.dtype(kind).itemsize
+            cuts = iter(cut_points(ids, bounds))
+            low = 0
+            for doc_id, bound in zip(batch.column(0).to_pylist(), bounds, strict=True):
+                first, hashes = low, []
+                while low < bound:
+                    high = next(cuts)
+                    data = stored[low * width : high * width]
                     hashes.append(_digest(data))
                     fresh = hashes[-1] not in seen
                     if fresh and len(seen) < SEEN:
                         seen.add(hashes[-1])
-                    last = high == len(ids)
-                    rows.append((uid, doc_id, low, high - low, hashes[-1], data if fresh else None,
-                                 len(ids) if last else None, _digest(b"".join(hashes)) if last else None))
+                    last = high == bound
+                    rows.append((uid, doc_id, low - first, high - low, hashes[-1], data if fresh else None,
+                                 bound - first if last else None, _digest(b"".join(hashes)) if last else None))
                     low = high
                 uid += 1
             columns = list(zip(*rows, strict=True)) if rows else [()] * 8

@@ -165,6 +165,10 @@ def test_cuts_follow_content():
     moved = token_store.cut_points(np.concatenate([ids[:5], ids]))
     assert len({e - 5 for e in moved} & set(ends)) > 0.9 * len(ends)
     assert token_store.cut_points(np.array([0])) == [1]
+    documents = [rng.integers(0, 50_000, n) for n in (1, 70, 5000, 3, 64, 12_000, 200)]
+    bounds = np.cumsum([len(d) for d in documents]).tolist()
+    alone = [low + e for d, low in zip(documents, [0, *bounds]) for e in token_store.cut_points(d)]
+    assert token_store.cut_points(np.concatenate(documents), bounds) == alone
 
 
 def test_empty_tables(spark):

@@ -20,14 +20,14 @@ from .common import _BYTE_VALUES, _range_hashes
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Most words, and most stems, that one worker process keeps, in two generations of half each.
-CACHE = 900_000
+CACHE = 400_000
 CACHE_TAILS = 10_000
 #: Letters below are composed, have lower case one by one, and are letters in every Unicode version.
 LATIN = "\u0130"
 #: Signs that may close a word; none starts a contraction.
 CLOSING = ".,;:!?*#$%&|"
 #: Code points of text that are looked up together.
-PIECE = 1 << 21
+PIECE = 1 << 19
 _LEADS = {0: "", 0x20: " ", 0x0A: "\n"}
 
 

@@ -43,7 +43,12 @@ LEAST_GROUP = 100
 STEPS = 8
 #: Standard deviations added to each transformed statistic, so that one which is the same for most
 #: documents (no symbols, no repeats) does not make every other value an outlier.
-RIDGE = (0.05, 0.06, 0.2, 0.2)
+#: Small enough that each statistic can pass the cutoff by itself.
+RIDGE = (0.05, 0.06, 0.12, 0.09)
+#: Lines and words without repeats that every document is given, so that one repeated line is not
+#: most of a short document, while long ones keep their shares.
+MORE_LINES = 3
+MORE_WORDS = 64
 FEATURES = ("x0", "x1", "x2", "x3")
 
 
@@ -197,8 +202,8 @@ def judge(docs: DataFrame, support: float = SUPPORT, tail: float = TAIL, least_g
         "base_failed": base,
         "x0": F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n),
         "x1": F.sqrt(F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))),
-        "x2": F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))),
-        "x3": F.sqrt(F.col("n_repeat_words") / n),
+        "x2": F.sqrt(F.col("n_dup_lines") / (F.col("n_lines") + MORE_LINES)),
+        "x3": F.sqrt(F.col("n_repeat_words") / (F.col("n_words") + MORE_WORDS)),
     })
     rows = materialize(rows)
     # Keys of the levels: language and source, language, everything.

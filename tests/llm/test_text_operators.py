@@ -208,6 +208,25 @@ def test_outliers_are_rejected_and_clean_documents_kept(spark):
     assert sum(got[r[0]] for r in rows) >= 0.995 * len(rows)
 
 
+def test_one_statistic_alone_rejects(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(i, 60 + i % 200), "en", "a", 0) for i in range(600)]
+    lines, repeats, once = [], [], []
+    for i in range(20):
+        short = prose(2000 + i, 10).split()
+        lines.append((1000 + i, "\n".join(short + [rng.choice(short) for _ in range(40)]), "en", "a", 0))
+        words = prose(3000 + i, 860).split()
+        repeats.append((1100 + i, " ".join(words + words[:140]), "en", "a", 0))
+        parts = [" ".join(prose(4000 + 9 * i + k, 9).split()) for k in range(8)]
+        once.append((1200 + i, "\n".join([*parts, parts[0]]), "en", "a", 0))
+    got = {r.doc_id: r for r in quality.judge(frame(spark, rows + lines + repeats + once)).collect()}
+    assert not any(got[r[0]].base_failed for r in lines + repeats + once)
+    assert not any(got[r[0]].kept for r in lines)
+    assert not any(got[r[0]].kept for r in repeats)
+    assert all(got[r[0]].kept for r in once)
+    assert sum(got[r[0]].kept for r in rows) >= 0.995 * len(rows)
+
+
 def test_concentration_resists_what_a_plain_covariance_does_not(spark):
     rng = np.random.default_rng(0)
     good = rng.normal(0, 1, (400, 4))

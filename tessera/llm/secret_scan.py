@@ -5,6 +5,7 @@ lines with percent or Unicode escapes are decoded in place (with a map from deco
 code points), and base64 runs, plain or compressed, become layers of their own that map to the run.
 New layers are rescanned and unwrapped in turn until nothing new appears; a digest of each layer
 already seen at its place stops cycles and repeats. Spans always refer to the original text.
+Compressed layers are read to their end, member by member, and large ones scanned in pieces.
 
 Defined results: null or empty text has no spans; its base digest is that of the empty string.
 Repeated rows are scanned row by row. Base counts and digest depend on the base patterns alone.
@@ -20,7 +21,10 @@ import lzma
 import re
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from codecs import getincrementaldecoder
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,8 +39,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # the leftmost run of 32 or more is a maximal run
 LEAST = (8, 16, 32)
 
-#: Most bytes that one compressed layer may unfold to; larger ones are not text, but bombs.
-UNFOLDED = 1 << 24
+#: Bytes that decompressors take and give at once, and characters of unfolded text scanned together.
+INPUT = 1 << 16
+CHUNK = 1 << 20
+PIECE = 1 << 22
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 _ESCAPE = re.compile(
@@ -45,6 +51,8 @@ _ESCAPE = re.compile(
     r"|&#(?:[xX](?P<refhex>[0-9A-Fa-f]{1,6})|(?P<ref>[0-9]{1,7}));"
 )
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A line feed after a character that is not base64.
+_LINE_END = re.compile(r"[^A-Za-z0-9+/_\r-]\r?\n")
 
 Span = tuple[int, int, int]
 
@@ -123,39 +131,131 @@ def _unescape(text: str, place) -> _Layer:
     return _Layer("".join(out), pieces, place)
 
 
-def _unfold(data: bytes) -> bytes:
-    """Undo one compression that the first bytes announce; other data as they are."""
+def _compression(data: bytes) -> Callable | None:
+    """What makes a decompressor for the compression that the first bytes announce."""
+    if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 1 and (data[0] * 256 + data[1]) % 31 == 0):
+        return partial(zlib.decompressobj, 47)
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor
+    return None
+
+
+class _Unfolded:
+    """The chunks that compressed bytes unfold to, over all members that follow each other.
+
+    After a run to the end, ``rest`` holds the bytes behind the last member, and ``ended`` tells
+    whether a member came to its end.
+    """
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.rest, self.ended = data, b"", False
+
+    def __iter__(self) -> Iterator[bytes]:
+        data, make, at = self.data, _compression(self.data), 0
+        self.rest, self.ended = b"", False
+        try:
+            while make:
+                member = make()
+                while not member.eof and at < len(data):
+                    tail = data[at : at + INPUT]
+                    at += len(tail)
+                    while True:
+                        chunk = member.decompress(tail, CHUNK)
+                        if chunk:
+                            yield chunk
+                        tail = getattr(member, "unconsumed_tail", b"")
+                        if member.eof or not (tail or len(chunk) == CHUNK or not getattr(member, "needs_input", True)):
+                            break
+                if not member.eof:
+                    return
+                self.ended, at = True, at - len(member.unused_data)
+                while at < len(data) and not data[at]:  # padding between members
+                    at += 1
+                same = _compression(data[at : at + 8])
+                if same is None or getattr(same, "func", same) is not getattr(make, "func", make):
+                    self.rest = data[at:]
+                    return
+        except (zlib.error, OSError, lzma.LZMAError, ValueError, EOFError):
+            pass
+
+
+def _text_pieces(source: Iterable[bytes], cut_short: bool) -> Iterator[str]:
+    """UTF-8 text in pieces, or nothing where the bytes are not text; ``source`` is run through twice.
+
+    Pieces end at line feeds that neither a pattern nor wrapped base64 reaches across. cut_short: the
+    last character may be incomplete.
+    """
+    decoder, size, odd, held = getincrementaldecoder("utf-8")(), 0, 0, []
     try:
-        if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 1 and (data[0] * 256 + data[1]) % 31 == 0):
-            return zlib.decompressobj(47).decompress(data, UNFOLDED)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, UNFOLDED)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(data, UNFOLDED)
-    except (zlib.error, OSError, lzma.LZMAError, ValueError, EOFError):
-        pass
-    return data
-
-
-def _decode_base64(run: str) -> str | None:
+        for chunk in source:
+            part = decoder.decode(chunk)
+            size += len(part)
+            if not part.isprintable():
+                odd += sum(n for c, n in Counter(part).items() if not (c.isprintable() or c in "\t\r\n"))
+            held = [*held, part] if size <= PIECE else []
+        decoder.decode(b"", not cut_short)
+    except UnicodeDecodeError:
+        return
+    if not size or odd * 20 > size:
+        return
+    if size <= PIECE:
+        yield "".join(held)
+        return
+    decoder.reset()
+    parts, size = [], 0
+    for chunk in source:
+        part = decoder.decode(chunk)
+        parts.append(part)
+        size += len(part)
+        # A line feed at the start of a part is left alone: what is before it is in another part.
+        if size > PIECE and (ends := [*_LINE_END.finditer(part)]):
+            at = ends[-1].end()
+            yield "".join([*parts[:-1], part[:at]])
+            parts, size = [part[at:]], len(part) - at
+    yield "".join(parts)
+
+
+def _texts(data: bytes) -> Iterator[str]:
+    """The texts that bytes are or unfold to, whatever the number of compressions around them."""
+    work, seen = [data], set()
+    while work:
+        data = work.pop()
+        digest = hashlib.blake2b(data, digest_size=16).digest()
+        if digest in seen:
+            continue
+        seen.add(digest)
+        if _compression(data) is None:
+            yield from _text_pieces([data], False)
+            continue
+        unfolded, head = _Unfolded(data), b""
+        for chunk in unfolded:
+            head += chunk
+            if len(head) >= 6:
+                break
+        if _compression(head):
+            work.append(b"".join(unfolded))
+        else:
+            for _ in unfolded:  # to its end
+                pass
+            if not unfolded.ended:  # damaged, or text that only begins as if it were compressed
+                yield from _text_pieces([data], False)
+            yield from _text_pieces(unfolded, not unfolded.ended)
+        if unfolded.rest:
+            work.append(unfolded.rest)
+
+
+def _decoded(run: str) -> Iterator[str]:
+    """The texts in a base64 run, plain or compressed."""
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
-        return None
+        return
     try:
         data = binascii.a2b_base64(body + "=" * (-len(body) % 4))
     except binascii.Error:
-        return None
-    for _ in range(8):
-        more = _unfold(data)
-        if more is data or more == data:
-            break
-        data = more
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    odd = sum(not (c.isprintable() or c in "\t\r\n") for c in text)
-    return text if text and odd * 20 <= len(text) else None
+        return
+    yield from _texts(data)
 
 
 def _unwrapped(text: str, place) -> Iterator[_Layer]:
@@ -170,16 +270,19 @@ def _unwrapped(text: str, place) -> Iterator[_Layer]:
             done = len(text) if done < 0 else done
             yield _unescape(text[start:done], lambda a, b, s=start: place(s + a, s + b))
     for m in _BASE64.finditer(text):
-        if (inner := _decode_base64(m[0])) is not None:
+        for inner in _decoded(m[0]):
             yield _Layer(inner, [(0, *m.span(), False)], place)
 
 
 def all_spans(text: str, base: list[Span]) -> list[Span]:
     """Base spans and those of every layer, mapped to the original text, each once."""
     found, seen = set(base), set()
-    work = list(_unwrapped(text, lambda a, b: (a, b)))
+    work = [_unwrapped(text, lambda a, b: (a, b))]  # layers are made when their turn comes
     while work:
-        layer = work.pop()
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
         if not layer.text:
             continue
         mark = (*layer.origin(0, len(layer.text)), hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
@@ -187,7 +290,7 @@ def all_spans(text: str, base: list[Span]) -> list[Span]:
             continue
         seen.add(mark)
         found.update((*layer.origin(a, b), kind) for a, b, kind in base_spans(layer.text))
-        work += _unwrapped(layer.text, layer.origin)
+        work.append(_unwrapped(layer.text, layer.origin))
     return sorted(found, key=lambda s: (s[0], s[2], s[1]))
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import urllib.parse
@@ -70,6 +72,29 @@ def test_odd_layers_end():
         assert secret_scan.all_spans(text, []) == []
 
 
+def test_compressed_layers_are_read_to_their_end():
+    def found(data: bytes) -> bool:
+        run = base64.b64encode(data).decode()
+        return (2, 2 + len(run), 1) in secret_scan.all_spans(f"a {run} b", [])
+
+    secret = f"the key is {KEY} indeed".encode()
+    log = "one line of a lóng log, as they are\n".encode() * 500_000  # over 16 MiB
+    assert len(log) > 1 << 24
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress):
+        assert found(pack(log + secret))
+        assert found(pack(b"first member") + pack(secret))
+        assert found(pack(secret[:15]) + pack(secret[15:]))
+        assert not found(pack(log))
+    assert found(gzip.compress("é".encode() * (9 << 20) + b"\n" + secret))
+    assert found(gzip.compress(b"gzip, then bz2") + bz2.compress(secret))
+    nested = secret
+    for _ in range(40):
+        nested = zlib.compress(nested)
+    assert found(nested)
+    assert found(b"x^2 is no zlib stream: " + secret)
+    assert found(gzip.compress(secret)[:-8])
+
+
 def test_redaction(spark):
     text = f"a {KEY} b"
     out = secret_scan.redact(frame(spark, [(1, text, "en", "a", 1), (2, None, None, None, None)])).orderBy("doc_id").collect()

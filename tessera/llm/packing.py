@@ -1,11 +1,13 @@
 """Pattern packing by non-negative least squares.
 
 Piece lengths are counted in a histogram (its size is the sequence length, whatever the corpus).
-Patterns of up to three lengths that fill a sequence exactly are enumerated, their repeat counts
-fitted to the histogram by non-negative least squares, rounded to what the histogram can supply,
-and what is left is packed best-fit decreasing, again on the histogram. Only the plan, whose size
-is bounded by the histogram, exists on the driver; pieces are matched to places by their rank among
-the pieces of one length class, dealt over as many salts as the class needs.
+Patterns of up to three length classes that fill a sequence are enumerated, their repeat counts
+fitted to the histogram by non-negative least squares and rounded to what it can supply. They are
+filled with true lengths, and what is left is packed best-fit decreasing by true lengths, into the
+room that patterns leave and then new sequences; where that alone needs fewer sequences, it is the
+plan. Only the plan, whose size is bounded by the histogram, exists on the driver; pieces are
+matched to places by their rank among the pieces of one length, dealt over as many salts as the
+length needs.
 
 Defined results: null text is empty text (the end id alone). Rows that repeat a doc_id are packed
 row by row. An empty table gives an empty result. Other columns are ignored, whatever their names.
@@ -28,10 +30,12 @@ from .common import arrow_map, discard, materialize
 from .tokens import encoder
 
 SEQUENCE = 2048
-#: Length classes of the fit.
+#: Length classes of the patterns; everything else goes by true lengths.
 CLASSES = 512
-#: (class, salt) groups in which pieces are ranked.
+#: (length, salt) groups in which pieces are ranked.
 RANK_GROUPS = 4096
+#: Equal sequences: their number, and the (length, pieces) of each.
+Group = tuple[int, tuple[tuple[int, int], ...]]
 
 
 def patterns(classes: int, present: np.ndarray) -> np.ndarray:
@@ -79,7 +83,7 @@ def fit(shapes: np.ndarray, counts: np.ndarray, rounds: int = 1500) -> np.ndarra
 
 @dataclass
 class PackingPlan:
-    """Runs of ranks: in class ``cls`` the ranks from ``low`` fill sequences from ``sequence``,
+    """Runs of ranks: among pieces of length ``cls`` the ranks from ``low`` fill sequences from ``sequence``,
     ``each`` pieces per sequence, from slot ``slot``."""
 
     cls: np.ndarray
@@ -91,47 +95,77 @@ class PackingPlan:
 
 
 def plan_packing(counts: np.ndarray) -> PackingPlan:
-    """counts[c]: pieces of length class c (1 to len(counts) - 1, the last a full sequence)."""
-    classes = len(counts) - 1
-    left = counts.astype(np.int64).copy()
-    groups: list[tuple[int, tuple[tuple[int, int], ...]]] = [(int(left[classes]), ((classes, 1),))]
-    left[classes] = 0
-    shapes = patterns(classes, left > 0)
-    if len(shapes):
-        repeats = fit(shapes, left)
-        for i in np.argsort(-repeats, kind="stable"):
-            if repeats[i] < 0.5:
-                break
-            parts, sizes = np.unique(shapes[i][shapes[i] > 0], return_counts=True)
-            n = int(min(round(repeats[i]), (left[parts] // sizes).min()))
-            if n > 0:
-                left[parts] -= n * sizes
-                groups.append((n, tuple((int(p), int(s)) for p, s in zip(parts, sizes, strict=True))))
-    groups += _best_fit(left, classes)
-    return _runs([g for g in groups if g[0] > 0], counts)
-
-
-def _best_fit(left: np.ndarray, classes: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
-    """Best-fit decreasing on counts: equal sequences are handled as one group."""
-    open_at: dict[int, list[tuple[int, tuple[tuple[int, int], ...]]]] = {}
+    """counts[n]: pieces of length n (1 to len(counts) - 1, the last a full sequence)."""
+    sequence = len(counts) - 1
+    full = [(int(counts[sequence]), ((sequence, 1),))]
+    rest = counts.astype(np.int64).copy()
+    rest[sequence] = 0
+    left = rest.copy()
+    filled = _by_patterns(left, sequence)
+    plans = [_best_fit(left, sequence, filled), _best_fit(rest, sequence, [])]
+    best = min(plans, key=lambda groups: sum(n for n, _ in groups))
+    return _runs([g for g in full + best if g[0] > 0], counts)
+
+
+def _by_patterns(left: np.ndarray, sequence: int) -> list[Group]:
+    """Sequences after fitted patterns of length classes; takes their pieces, the longest first, from ``left``."""
+    width = max(1, sequence // CLASSES)
+    classes = sequence // width
+    counts = np.zeros(classes + 1, dtype=np.int64)
+    lengths = np.arange(1, classes * width + 1)
+    np.add.at(counts, -(-lengths // width), left[lengths])
+    shapes = patterns(classes, counts > 0)
+    out: list[Group] = []
+    if not len(shapes):
+        return out
+    repeats = fit(shapes, counts)
+    for i in np.argsort(-repeats, kind="stable"):
+        if repeats[i] < 0.5:
+            break
+        parts, sizes = np.unique(shapes[i][shapes[i] > 0], return_counts=True)
+        n = int(min(round(repeats[i]), (counts[parts] // sizes).min()))
+        counts[parts] -= n * sizes
+        while n > 0:
+            taken: list[tuple[int, int]] = []
+            times = n
+            for c, each in zip(parts.tolist(), sizes.tolist(), strict=True):
+                need = each
+                for length in range(c * width, (c - 1) * width, -1):
+                    here = min(need, int(left[length]))
+                    if here:
+                        taken.append((length, here))
+                        times = min(times, int(left[length]) // here)
+                        need -= here
+            for length, each in taken:
+                left[length] -= times * each
+            out.append((times, tuple(taken)))
+            n -= times
+    return out
+
+
+def _best_fit(left: np.ndarray, sequence: int, filled: list[Group]) -> list[Group]:
+    """Best-fit decreasing on counts, into what ``filled`` leaves too: equal sequences are handled as one group."""
+    open_at: dict[int, list[Group]] = {}
     spaces: list[int] = []
 
-    def put(space: int, group: tuple[int, tuple[tuple[int, int], ...]]) -> None:
+    def put(space: int, group: Group) -> None:
         if space not in open_at:
             open_at[space] = []
             insort(spaces, space)
         open_at[space].append(group)
 
-    for size in range(classes - 1, 0, -1):
+    for group in filled:
+        put(sequence - sum(size * each for size, each in group[1]), group)
+    for size in range(sequence - 1, 0, -1):
         n = int(left[size])
         while n > 0:
             at = bisect_left(spaces, size)
             if at == len(spaces):
-                each = classes // size
+                each = sequence // size
                 if n >= each:
-                    put(classes - each * size, (n // each, ((size, each),)))
+                    put(sequence - each * size, (n // each, ((size, each),)))
                 if n % each:
-                    put(classes - n % each * size, (1, ((size, n % each),)))
+                    put(sequence - n % each * size, (1, ((size, n % each),)))
                 break
             space = spaces[at]
             count, parts = open_at[space].pop()
@@ -147,7 +181,7 @@ def _best_fit(left: np.ndarray, classes: int) -> list[tuple[int, tuple[tuple[int
     return [g for found in open_at.values() for g in found]
 
 
-def _runs(groups: list, counts: np.ndarray) -> PackingPlan:
+def _runs(groups: list[Group], counts: np.ndarray) -> PackingPlan:
     taken = np.zeros(len(counts), dtype=np.int64)
     rows, sequence = [], 0
     for n, parts in groups:
@@ -196,15 +230,13 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE, order: tuple[str, ...] = (
     Sequences hold whole pieces, gapless from offset 0, and at most ``sequence`` tokens.
     """
     spark = pieces.sparkSession
-    width = max(1, sequence // CLASSES)
-    classes = sequence // width
-    placed = pieces.withColumn("_cls", F.ceil(F.col("length") / width).cast("int"))
-    counts = np.zeros(classes + 1, dtype=np.int64)
-    for cls, n in placed.groupBy("_cls").agg(F.count("*")).collect():  # one row per length class
+    placed = pieces.withColumn("_cls", F.col("length").cast("int"))
+    counts = np.zeros(sequence + 1, dtype=np.int64)
+    for cls, n in placed.groupBy("_cls").agg(F.count("*")).collect():  # one row per length
         counts[cls] = n
     plan = plan_packing(counts)
     share = max(1, int(counts.sum()) // RANK_GROUPS)
-    salts = F.array(*[F.lit(int(max(1, -(-n // share)))) for n in counts])
+    salts = F.expr(f"array({', '.join(str(max(1, -(-int(n) // share))) for n in counts)})")
     salted = placed.withColumn("_salt", F.pmod(F.xxhash64(*order), salts[F.col("_cls")]).cast("int"))
     before = Window.partitionBy("_cls").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = (

@@ -90,6 +90,31 @@ def test_plan_is_about_as_good_as_best_fit(spark, seed):
     assert len(sums) <= 1.01 * best_fit(lengths, 2048) + 1
 
 
+@pytest.mark.parametrize("median", [1, 5, 20, 100, 300, 700])
+def test_plan_goes_by_true_lengths(median):
+    rng = np.random.default_rng(median)
+    spread = 0 if median <= 5 else 0.8
+    lengths = np.clip(median * np.exp(spread * rng.normal(size=6000)), 1, 2048).astype(int)
+    plan = packing.plan_packing(np.bincount(lengths, minlength=2049))
+    assert -(-lengths.sum() // 2048) <= plan.sequences <= best_fit(lengths.tolist(), 2048)
+    if median == 20:
+        assert plan.sequences == -(-lengths.sum() // 2048)
+
+
+def test_plan_of_odd_sequence_lengths():
+    for sequence in (1, 7, 1027, 2047, 2500, 2501):
+        counts = np.random.default_rng(sequence).integers(0, 9, sequence + 1)
+        counts[0] = 0
+        plan = packing.plan_packing(counts)
+        room = np.zeros(plan.sequences)
+        ends = np.append(plan.low[1:], 0)
+        last = np.append(plan.cls[1:] != plan.cls[:-1], True)
+        ends[last] = counts[plan.cls[last]]
+        for cls, low, high, first, each in zip(plan.cls, plan.low, ends, plan.sequence, plan.each, strict=True):
+            np.add.at(room, first + np.arange(high - low) // each, cls)
+        assert room.max() <= sequence and room.sum() == (counts * np.arange(sequence + 1)).sum()
+
+
 def test_plan_counts():
     rng = np.random.default_rng(0)
     for _ in range(20):

@@ -117,6 +117,20 @@ def test_ties_few_rows_and_unsound_vectors(spark):
     assert ann.nearest(one.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_repeated_ids_hide_no_neighbours(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(700, 16))
+    x[1:60] = x[0] + 0.3 * rng.normal(size=(59, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    # Every row twice, the query 40 times, and three hot ids near it 60 times each.
+    ids = [*range(700), *range(700), *[0] * 38, *[i for i in (1, 2, 3) for _ in range(58)]]
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in ids], "vec_id bigint, embedding array<double>")
+    got = table(ann.nearest(df, F.col("vec_id") % 100 == 0, probes=1.0), "query_id", "rank")
+    vectors = dict(enumerate(x))
+    for q in range(0, 700, 100):
+        assert got[got.query_id == q].vec_id.tolist() == [i for i, _ in brute(vectors, q, 20)]
+
+
 def test_rotation_keeps_lengths():
     x = np.random.default_rng(1).normal(size=(50, 64))
     index = ann.CrossPolytope(64, 2, False, 1.0)

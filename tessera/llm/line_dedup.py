@@ -30,8 +30,8 @@ from .linking import Banding, band_batch, link
 
 NUM, DEN = 80, 100
 WIDTH = 8
-HASHES = 27
-BAND_MISS = 2e-3
+HASHES = 64
+BAND_MISS = 1e-3
 POSTERIOR_MISS = 1e-6
 #: Lines whose signature one task has made and that it leaves out when they come again.
 SEEN = 200_000

@@ -147,6 +147,12 @@ def lines_removed(rows: list[tuple], num: int = 80, width: int = 8) -> dict[int,
     return out
 
 
+def test_line_bands_lose_few_pairs():
+    plan = linking.Banding.for_threshold(line_dedup.NUM, line_dedup.DEN, line_dedup.HASHES, line_dedup.BAND_MISS)
+    for alike, most in ((0.80, 2.3e-4), (0.85, 7.5e-6), (0.90, 4.5e-8)):
+        assert (1 - alike**plan.rows) ** plan.bands <= most
+
+
 def test_lines_equal_brute_force(spark):
     rng = random.Random(5)
     pool = [prose(200 + i, rng.choice([3, 8, 20])).replace("\n", " ") for i in range(40)]

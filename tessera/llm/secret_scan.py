@@ -51,6 +51,8 @@ _ESCAPE = re.compile(
     r"|&#(?:[xX](?P<refhex>[0-9A-Fa-f]{1,6})|(?P<ref>[0-9]{1,7}));"
 )
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+_WRAPPED_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 #: A line feed after a character that is not base64.
 _LINE_END = re.compile(r"[^A-Za-z0-9+/_\r-]\r?\n")
 
@@ -258,6 +260,24 @@ def _decoded(run: str) -> Iterator[str]:
     yield from _texts(data)
 
 
+def _wrapped_runs(text: str) -> Iterator[tuple[str, int, int]]:
+    """(run, start, end) of base64 over consecutive lines of one width and a last one that may be shorter."""
+    for m in _WRAPPED.finditer(text):
+        lines = [x.span() for x in _WRAPPED_LINE.finditer(text, *m.span())]
+        at = 0
+        while at < len(lines) - 1:
+            width, end = lines[at][1] - lines[at][0], at + 1
+            while end < len(lines) and lines[end][1] - lines[end][0] == width:
+                end += 1
+            ends = [end] if end > at + 1 else []
+            if end < len(lines) and lines[end][1] - lines[end][0] < width:
+                ends.append(end + 1)  # the shorter line may be of the run or begin what follows
+            if width >= 16:
+                for last in ends:
+                    yield "".join(text[a:b] for a, b in lines[at:last]), lines[at][0], lines[last - 1][1]
+            at = end
+
+
 def _unwrapped(text: str, place) -> Iterator[_Layer]:
     """Layers directly inside ``text``; place(start, end) gives the original span of a piece."""
     if ("%" in text and _PERCENT.search(text)) or "\\" in text or "&#" in text:
@@ -272,6 +292,9 @@ def _unwrapped(text: str, place) -> Iterator[_Layer]:
     for m in _BASE64.finditer(text):
         for inner in _decoded(m[0]):
             yield _Layer(inner, [(0, *m.span(), False)], place)
+    for run, start, end in _wrapped_runs(text):
+        for inner in _decoded(run):
+            yield _Layer(inner, [(0, start, end, False)], place)
 
 
 def all_spans(text: str, base: list[Span]) -> list[Span]:

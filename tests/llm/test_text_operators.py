@@ -95,6 +95,22 @@ def test_compressed_layers_are_read_to_their_end():
     assert found(gzip.compress(secret)[:-8])
 
 
+@pytest.mark.parametrize("width", [64, 76])
+@pytest.mark.parametrize("break_", ["\n", "\r\n", "\n    "])
+def test_wrapped_base64_is_joined(width, break_):
+    rng = random.Random(width)
+    filler = "".join(rng.choice("abcdefgh é\n") for _ in range(300))
+    secret = f"the key is {KEY} indeed"
+    payloads = [gzip.compress((filler + secret).encode()), zlib.compress((filler + secret).encode())]
+    payloads += [("é" + "x" * n + " " + secret + filler).encode() for n in range(20, 60)]
+    for data in payloads:
+        flat = base64.b64encode(data).decode()
+        run = break_.join(flat[i : i + width] for i in range(0, len(flat), width))
+        for after in ("\nand after", "\n-----END", ""):
+            text = f"before:\n{run}{after}"
+            assert (8, 8 + len(run), 1) in secret_scan.all_spans(text, [])
+
+
 def test_redaction(spark):
     text = f"a {KEY} b"
     out = secret_scan.redact(frame(spark, [(1, text, "en", "a", 1), (2, None, None, None, None)])).orderBy("doc_id").collect()

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Used only where the session names no spark.checkpoint.dir, as in local tests.
+#: Used only where the session names no spark.checkpoint.dir and one machine is the whole cluster, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
@@ -21,8 +21,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def work_folder(spark: SparkSession) -> str:
     """A new folder below the shared checkpoint folder of the cluster."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
-    return f"{shared.rstrip('/')}/tessera/{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(shared or LOCAL_CHECKPOINTS).rstrip('/')}/tessera/{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, folder: str | None = None) -> DataFrame:
@@ -51,26 +53,12 @@ def discard(*tables: DataFrame) -> None:
 
 # --- hashing -----------------------------------------------------------------------------------
 
-_RNG = np.random.Generator(np.random.PCG64(0x7E55E2A))
-_BYTE_VALUES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FOLDED = np.arange(256)
 _FOLDED[65:91] += 32
-_FOLDED_VALUES = _BYTE_VALUES[_FOLDED]
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 2**64)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Texts are hashed in pieces of about this many bytes, cut at white space.
 _PIECE = 1 << 20
-_powers = {"up": np.ones(1, dtype=np.uint64), "down": np.ones(1, dtype=np.uint64)}
-
-
-def _power(which: str, n: int) -> np.ndarray:
-    if len(_powers[which]) < n:
-        base = np.full(max(n, 1 << 16), _BASE if which == "up" else _INVERSE, dtype=np.uint64)
-        base[0] = 1
-        _powers[which] = np.multiply.accumulate(base)
-    return _powers[which]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -82,12 +70,42 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Hash of data[start:end] for each range: equal content, equal hash, wherever it lies."""
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(values[data] * _power("up", len(data))[: len(data)], out=total[1:])
-    raw = (total[ends] - total[starts]) * _power("down", len(data) + 1)[starts]
-    return mix64(raw ^ (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def _random(n: int, stream: int) -> np.ndarray:
+    """The first n numbers of a fixed stream of random 64-bit integers."""
+    return mix64(mix64(np.arange(n, dtype=np.uint64) + np.uint64(stream << 40)) + np.uint64(0x9E3779B97F4A7C15))
+
+
+_VALUES = _random(256, 1)
+_FOLDED_VALUES = _VALUES[_FOLDED]
+_weights = [_random(1 << 12, 2)]
+
+
+def _weight(n: int) -> np.ndarray:
+    """Random weights of the places 0 to n - 1 of a range."""
+    if n > len(_weights[0]):
+        _weights[0] = _random(1 << n.bit_length(), 2)
+    return _weights[0]
+
+
+class RangeHashes:
+    """Hashes of byte ranges that begin where one of ``anchors`` (ascending) does.
+
+    A range's hash is the sum of its bytes' random values, each times the random weight of its place
+    in the range, so equal content gives equal hashes wherever it lies. The weights are independent,
+    not powers of one base: no family of texts cancels out, as the powers' sums modulo 2 ** 64 do.
+    """
+
+    def __init__(self, data: np.ndarray, anchors: np.ndarray, fold_case: bool = False) -> None:
+        self.total = np.zeros(len(data) + 1, dtype=np.uint64)
+        if len(anchors):
+            runs, first = np.diff(anchors, append=len(data)), int(anchors[0])
+            place = np.arange(first, len(data)) - np.repeat(anchors, runs)
+            values = (_FOLDED_VALUES if fold_case else _VALUES)[data[first:]]
+            np.cumsum(values * _weight(int(runs.max()))[place], out=self.total[first + 1 :])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        raw = self.total[ends] - self.total[starts]
+        return mix64(raw ^ (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def word_hashes(text: str, fold_case: bool = True) -> np.ndarray:
@@ -105,7 +123,7 @@ def word_hashes(text: str, fold_case: bool = True) -> np.ndarray:
         inside[1:-1] = ~_SPACE[data]
         edge = np.diff(inside)
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        out.append(_range_hashes(data, starts, ends, _FOLDED_VALUES if fold_case else _BYTE_VALUES))
+        out.append(RangeHashes(data, starts, fold_case)(starts, ends))
         at = end
     return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
@@ -131,28 +149,30 @@ def word_shingles(text: str | None, width: int = 5) -> np.ndarray:
     return distinct(total)
 
 
-def byte_windows(line: bytes, width: int) -> np.ndarray:
-    """One 64-bit number per window of ``width`` bytes, equal for equal windows; shorter: one number."""
-    data = np.frombuffer(line, dtype=np.uint8)
-    n = min(width, len(data))
-    if n == 8:
-        return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view(np.uint64).ravel()
-    starts = np.arange(len(data) - n + 1)
-    return _range_hashes(data, starts, starts + n, _BYTE_VALUES)
+_PLACES = _random(64, 3) | np.uint64(1)
 
 
-def span_shingles(data: np.ndarray, spans: list[tuple[int, int]], width: int) -> Iterator[np.ndarray]:
-    """For each span of at least ``width`` bytes, the hashes (with repeats) of its shingles.
+def char_shingles(points: np.ndarray, width: int) -> np.ndarray:
+    """Hashes, with repeats, of the windows of ``width`` code points (at most 64) of one or more lines."""
+    n = max(0, len(points) - width + 1)
+    wide = points.astype(np.uint64)
+    total = np.zeros(n, dtype=np.uint64)
+    for k in range(width):
+        total += wide[k : k + n] * _PLACES[k]
+    return mix64(total)
+
+
+def code_points(line: bytes) -> np.ndarray:
+    """Code points of UTF-8 bytes."""
+    if line.isascii():
+        return np.frombuffer(line, dtype=np.uint8)
+    return np.frombuffer(line.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
-    One pass over all of them; a hash depends on the shingle alone.
-    """
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_VALUES[data] * _power("up", len(data))[: len(data)], out=total[1:])
-    n = max(0, len(data) - width + 1)
-    raw = (total[width : width + n] - total[:n]) * _power("down", len(data) + 1)[:n]
-    every = mix64(raw ^ np.uint64(width * 0xD6E8FEB86659FD93 % 2**64))
-    for start, end in spans:
-        yield every[start : end - width + 1]
+
+def line_shingles(line: bytes, width: int) -> np.ndarray:
+    """Shingle hashes, with repeats, of one line; a shorter line is one shingle."""
+    points = code_points(line)
+    return char_shingles(points, min(width, len(points)))
 
 
 def set_digest(hashes: np.ndarray) -> tuple[int, int]:
@@ -177,37 +197,50 @@ def list_array(rows: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
-    """mapInArrow for functions of one batch; batches are kept small, as a row can be megabytes.
+    """mapInArrow for functions of one small batch.
 
-    The session reads the batch size when a plan runs, so a smaller one than usual holds only for
-    tables that are materialized before the next call.
+    Spark bounds the bytes of what it hands over (spark.sql.execution.arrow.maxBytesPerBatch); here that
+    is sliced to ``rows``, without copies and without settings of the session.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, rows):
             yield from fn(batch)
 
     return df.mapInArrow(run, schema)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(at, rows)
+
+
 # --- bounded bitmaps ---------------------------------------------------------------------------
 
-#: Bits of the bitmaps that pre-filter rows; fixed, so what is broadcast does not grow with the data.
-BITMAP_BITS = 1 << 24
+#: Bits per key and most bits of a bitmap that pre-filters rows, which bounds what is broadcast (8 MB).
+BITS_PER_KEY = 16
+BITMAP_MOST = 1 << 26
 
 
 def bitmap_slots(keys: np.ndarray, bits: int) -> np.ndarray:
     return (mix64(keys.view(np.uint64)) % np.uint64(bits)).astype(np.int64)
 
 
-def key_bitmap(keys: DataFrame, column: str, bits: int = BITMAP_BITS):
-    """A broadcast bitmap of fixed size in which every key of a bigint column is marked.
+def key_bitmap(keys: DataFrame, column: str):
+    """A broadcast bitmap in which every key of a bigint column is marked; None where it could not filter.
 
-    A filter only: rows that pass by chance are removed by the exact join that follows, and a full
-    bitmap merely stops filtering. At most ``bits / 64`` words reach the driver.
+    Its size follows the number of keys up to ``BITMAP_MOST`` bits. A filter only: rows that pass by
+    chance are removed by the exact join that follows, and beyond the largest size that join does all
+    the work. At most ``BITMAP_MOST / 64`` words reach the driver.
     """
     spark = keys.sparkSession
+    n = keys.count()
+    bits = 1 << max(16, (BITS_PER_KEY * n).bit_length())
+    if bits > BITMAP_MOST:
+        bits = BITMAP_MOST
+        if 2 * n > bits:
+            return None
 
     def slots(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         slot = np.unique(bitmap_slots(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), bits))
@@ -217,7 +250,7 @@ def key_bitmap(keys: DataFrame, column: str, bits: int = BITMAP_BITS):
         yield pa.RecordBatch.from_pydict({"word": words, "mask": merged.view(np.int64)})
 
     table = (
-        arrow_map(keys.select(column).where(F.col(column).isNotNull()), slots, "word bigint, mask bigint")
+        arrow_map(keys.select(column).where(F.col(column).isNotNull()), slots, "word bigint, mask bigint", rows=10_000)
         .groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
     )
     bitmap = np.zeros(bits // 64, dtype=np.uint64)
@@ -233,40 +266,69 @@ def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
 # --- prefix sums -------------------------------------------------------------------------------
 
 
-def running_start(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
-    """Adds the sum of ``value`` over all rows that come before in ``order`` (ties: any order).
+def running_starts(df: DataFrame, order: list[str], **sums: str) -> DataFrame:
+    """Adds, as each name, the sum of its column over all rows that come before in ``order`` (ties: any order).
 
-    Rows are dealt by range; one total per range (as many as there are partitions) is summed in a
-    single small window, and the running sum inside a range is a streaming window.
+    Rows are dealt by range; totals per range (as many as there are partitions) are summed in a
+    single small window, and the running sums inside a range are a streaming window.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = materialize(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
-    totals = dealt.groupBy("_range").agg(F.sum(value).alias("_total"))
+    totals = dealt.groupBy("_range").agg(*[F.sum(v).alias(f"_total_{k}") for k, v in sums.items()])
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
+    bases = totals.select("_range", *[F.coalesce(F.sum(f"_total_{k}").over(before), F.lit(0)).alias(f"_base_{k}") for k in sums])
     inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        dealt.repartitionByRange(parts, "_range")
-        .withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .join(F.broadcast(bases), "_range")  # one row per partition
-        .withColumn(out, (F.col("_base") + F.col("_inside")).cast("bigint"))
-        .drop("_range", "_base", "_inside")
+    placed = dealt.repartitionByRange(parts, "_range").withColumns({f"_in_{k}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for k, v in sums.items()})
+    return placed.join(F.broadcast(bases), "_range").select(  # one row per partition
+        *df.columns, *[(F.col(f"_base_{k}") + F.col(f"_in_{k}")).cast("bigint").alias(k) for k in sums]
     )
 
 
 # --- connected components ----------------------------------------------------------------------
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+#: Links that one task joins by itself; with more, rounds over the cluster do the same.
+LOCAL_LINKS = 1_000_000
+
+
+def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, comp) of one task's links: roots are hooked to smaller roots until nothing changes."""
+    parts = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
+    if not parts:
+        return
+    nodes, at = np.unique(np.concatenate([x for pair in zip(*parts, strict=True) for x in pair]), return_inverse=True)
+    one, two = at[: len(at) // 2], at[len(at) // 2 :]
+    root = np.arange(len(nodes))
+    while len(one):
+        low = np.minimum(root[one], root[two])
+        np.minimum.at(root, root[one], low)
+        np.minimum.at(root, root[two], low)
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+        apart = root[one] != root[two]
+        one, two = one[apart], two[apart]
+    for low in range(0, len(nodes), 10_000):
+        yield pa.RecordBatch.from_pydict({"node": nodes[low : low + 10_000], "comp": nodes[root[low : low + 10_000]]})
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b", local: int = LOCAL_LINKS) -> DataFrame:
     """(node, comp) for every node of an undirected link table of bigints; comp: smallest node.
 
     Alternating large-star and small-star rounds (Kiveris et al. 2014): each halves distances, so
-    the number of rounds is logarithmic; each round is written to the shared folder.
+    the number of rounds is logarithmic; each round is written to the shared folder. At most
+    ``local`` links are joined in one executor task instead; the result is the same.
     """
     edges = materialize(
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     )
+    if edges.count() <= local:
+        out = materialize(edges.select("u", "v").coalesce(1).mapInArrow(_joined_up, "node bigint, comp bigint"))
+        discard(edges)
+        return out
     mark = None
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -288,7 +350,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         mark = tuple(now)
     pairs = edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-    return pairs.union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+    out = materialize(pairs.union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()))
+    discard(edges)
+    return out
 
 
 def null_safe(column: str, other: str) -> Column:

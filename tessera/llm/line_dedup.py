@@ -6,8 +6,8 @@ sets; distributed union-find makes components; of each component one line stays,
 smallest (doc_id, line number).
 
 Lines are the text's parts between line feeds, trimmed of white space for comparison only. Shingles
-are of ``width`` UTF-8 bytes; a shorter line is one shingle, so it matches equal lines only. Lines
-without a word are never removed.
+are of ``width`` code points in any script; a line of at most ``width`` matches equal lines only.
+Lines without a word are never removed.
 
 Defined results: null text stays null and empty text empty. Rows equal in doc_id and text are one
 document, every row of which keeps the same lines; rows that repeat a doc_id with other text are
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_windows, discard, in_bitmap, materialize, span_shingles
+from .common import char_shingles, code_points, discard, in_bitmap, key_bitmap, line_shingles, materialize, sliced
 from .linking import Banding, band_batch, link
 
 NUM, DEN = 80, 100
@@ -42,18 +42,20 @@ _BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
 PIECE = 1 << 20
 
 
-def _hashed(lines: list[bytes], width: int) -> list[np.ndarray]:
-    """Shingle hashes, with repeats, of lines longer than ``width``."""
-    out: list[np.ndarray] = []
+def _hashed(lines: list[bytes], width: int) -> Iterator[np.ndarray]:
+    """Shingle hashes, with repeats, of lines; empty where a line has at most ``width`` code points."""
     low = size = 0
     for high, line in enumerate(lines, 1):
         size += len(line)
         if size > PIECE or high == len(lines):
-            ends = np.cumsum([len(x) for x in lines[low:high]]).tolist()
-            spans = list(zip([0, *ends[:-1]], ends, strict=True))
-            out += span_shingles(np.frombuffer(b"".join(lines[low:high]), dtype=np.uint8), spans, width)
+            some = lines[low:high]
+            counts = [len(x) if x.isascii() else len(x.decode("utf-8", "surrogatepass")) for x in some]
+            every = char_shingles(code_points(b"".join(some)), width)
+            at = 0
+            for n in counts:
+                yield every[at : at + n - width + 1] if n > width else every[:0]
+                at += n
             low, size = high, 0
-    return out
 
 
 def _lines(text: str | None) -> Iterator[tuple[int, bytes]]:
@@ -81,7 +83,7 @@ def _staged_lines(rows: DataFrame, plan: Banding, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign, seen = plan.signer(), set()
-        for batch in batches:
+        for batch in sliced(batches):
             doc, key, line_no, one, two, new = [], [], [], [], [], []
             for doc_id, text, doc_key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for i, line in _lines(text):
@@ -97,13 +99,13 @@ def _staged_lines(rows: DataFrame, plan: Banding, width: int) -> DataFrame:
                     two.append(d[1])
             bands: list[np.ndarray | None] = [None] * len(doc)
             for (at, _), hashes in zip(new, _hashed([x for _, x in new], width), strict=True):
-                bands[at] = sign(hashes)
+                if len(hashes):
+                    bands[at] = sign(hashes)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(line_no, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), band_batch(plan, bands)],
                 ["doc_id", "doc_key", "line", "d1", "d2", "bands"],
             )
 
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     return rows.mapInArrow(run, "doc_id bigint, doc_key bigint, line int, d1 bigint, d2 bigint, bands array<bigint>")
 
 
@@ -114,31 +116,29 @@ def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN, width: int =
     staged = materialize(_staged_lines(rows, plan, width))
     nodes = staged.where(F.size("bands") > 0).select(F.col("d1").alias("node"), "bands")
 
-    def fetch(wanted) -> DataFrame:
+    def fetch(involved: DataFrame):
+        wanted = key_bitmap(involved, "node")
+
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
-            for batch in batches:
+            for batch in sliced(batches):
                 node, full = [], []
-                for text in batch.column(0):
-                    found = [(_digest(line)[0], line) for _, line in _lines(text.as_py()) if len(line) > width]
-                    if not found:
-                        continue
-                    hit = in_bitmap(wanted.value, np.array([d for d, _ in found], dtype=np.int64))
-                    for at in np.flatnonzero(hit):
-                        d, line = found[at]
-                        if d in seen:
-                            continue
+                found = [(_digest(line)[0], line) for text in batch.column(0) for _, line in _lines(text.as_py()) if len(line) > width]
+                digests = np.array([d for d, _ in found], dtype=np.int64)
+                hit = np.ones(len(found), dtype=bool) if wanted is None else in_bitmap(wanted.value, digests)
+                for at in np.flatnonzero(hit).tolist():
+                    d, line = found[at]
+                    if d not in seen:
                         if len(seen) < SEEN:
                             seen.add(d)
                         node.append(d)
                         full.append(line)
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(full, pa.binary())], ["node", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.nulls(len(node), pa.binary()), pa.array(full, pa.binary())], ["node", "sig", "set"])
 
-        found = rows.select("text").mapInArrow(sets, "node bigint, set binary")
-        return found.groupBy("node").agg(F.lit(None).cast("binary").alias("sig"), F.first("set").alias("set"))
+        return rows.select("text").mapInArrow(sets, "node bigint, sig binary, set binary"), wanted
 
     # Lines travel as they are, an eighth of their shingles' size, and are cut where they are compared.
-    linked = link(nodes, fetch, plan, POSTERIOR_MISS, screened=False, unpack=lambda line: byte_windows(line, width))
+    linked = link(nodes, fetch, plan, POSTERIOR_MISS, screened=False, unpack=lambda line: line_shingles(line, width))
     keeper = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line", "doc_key"))
     groups = materialize(staged.groupBy("d1", "d2").agg(keeper.alias("first"), F.count("*").alias("n")))
     classes = groups.join(linked, F.col("d1") == F.col("node"), "left").select("d1", "d2", "first", "n", F.col("comp"))
@@ -150,7 +150,7 @@ def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN, width: int =
     keep = F.expr("doc_id <=> best.doc_id and line = best.line and doc_key = best.doc_key")
     removed = staged.select("doc_id", "doc_key", "line", "d1", "d2").join(repeated, ["d1", "d2"]).where(~keep)
     out = materialize(removed.select("doc_id", "doc_key", "line", "component").distinct())
-    discard(staged, groups)
+    discard(staged, groups, linked)
     return out
 
 

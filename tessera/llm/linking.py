@@ -1,17 +1,17 @@
 """Near-duplicate linking shared by the document and the line operators.
 
 Nodes carry band keys of a MinHash signature. A bucket (nodes with one band key) is never expanded
-into its pairs. Each member is first compared with the bucket's smallest node, its hub. Where a hub
-has members that are not linked to it, its members are looked at again, in blocks of bounded size,
-and only confirmed links leave a block. Every link is confirmed on the full sets; components of all
-links follow.
+into its pairs. Its members are filed under its smallest node, the hub, in blocks of bounded size
+that each hold the hub too, and a block is compared in memory: only confirmed links leave it. After
+components of these links, hubs with several blocks whose members lie in different components are
+looked at again, block by block, where pairs inside one component need no comparison. Every link
+is confirmed on the full sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from math import comb
 
 import numpy as np
@@ -19,12 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (
-    BATCH_ROWS, arrow_map, components, discard, distinct, in_bitmap, key_bitmap, materialize, mix64,
-)
+from .common import arrow_map, components, discard, in_bitmap, key_bitmap, materialize, mix64
 
-#: Members of a hub per block in the second look.
+#: Members of a hub, and bytes of their sets, per block.
 BLOCK = 64
+BLOCK_BYTES = 4 << 20
 #: Distinct hashes of a pair of blocks that are compared in one product.
 COLUMNS = 8192
 
@@ -119,52 +118,6 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, width)
 
 
-def _confirm(pairs: DataFrame, payload: DataFrame, plan: Banding, unpack: Callable[[bytes], np.ndarray], sorted_sets: bool) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    sets = payload.select("node", "set")
-    both = (
-        pairs.join(sets.withColumnsRenamed({"node": "a", "set": "set_a"}), "a")
-        .join(sets.withColumnsRenamed({"node": "b", "set": "set_b"}), "b")
-        .select("a", "b", "set_a", "set_b")
-    )
-
-    def check(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        cached = lru_cache(maxsize=256)(lambda data: unpack(data) if sorted_sets else distinct(unpack(data)))  # rows of one hub follow each other
-        keep = [
-            _same_enough(cached(x), cached(y), plan)
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-        ]
-        mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
-
-    return arrow_map(both, check, "a bigint, b bigint")
-
-
-def _screened(pairs: DataFrame, payload: DataFrame, plan: Banding, table: list[tuple[int, int]]) -> DataFrame:
-    signatures = payload.select("node", "sig")
-    both = (
-        pairs.join(signatures.withColumnsRenamed({"node": "a", "sig": "sig_a"}), "a")
-        .join(signatures.withColumnsRenamed({"node": "b", "sig": "sig_b"}), "b")
-        .select("a", "b", "sig_a", "sig_b")
-    )
-
-    def check(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        left, right = (_matrix(batch.column(i), plan.hashes) for i in (2, 3))
-        kept = pa.array(_screen(left, right, table))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept)], ["a", "b"])
-
-    return arrow_map(both, check, "a bigint, b bigint")
-
-
-def _same_enough(one: np.ndarray, two: np.ndarray, plan: Banding) -> bool:
-    """Whether two sorted sets reach the threshold, in whole numbers."""
-    small, large = (one, two) if len(one) <= len(two) else (two, one)
-    if not len(small) or plan.den * len(small) < plan.num * len(large):
-        return False
-    both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
-    return plan.den * both >= plan.num * (len(one) + len(two) - both)
-
-
 def _shared(one: list[np.ndarray], two: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Intersection sizes of each set of ``one`` with each of ``two``, and both sides' sizes.
 
@@ -187,81 +140,133 @@ def _shared(one: list[np.ndarray], two: list[np.ndarray]) -> tuple[np.ndarray, n
     return out, sizes[: len(one)], sizes[len(one) :]
 
 
+class _Side:
+    """Some nodes of a block: ids, labels of what is known to be connected, signatures and sets."""
+
+    def __init__(self, rows: pa.StructArray, labels: np.ndarray, plan: Banding, unpack: Callable[[bytes], np.ndarray], screened: bool) -> None:
+        self.node = rows.field("node").to_numpy(zero_copy_only=False)
+        self.label = labels
+        self.signature = _matrix(rows.field("sig"), plan.hashes) if screened else None
+        self._sets, self._unpack, self._made = rows.field("set"), unpack, {}
+
+    def full(self, i: int) -> np.ndarray:
+        if i not in self._made:
+            self._made[i] = self._unpack(self._sets[int(i)].as_py())
+        return self._made[i]
+
+
+def _links(one: _Side, two: _Side, wanted: np.ndarray, plan: Banding, table: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Confirmed links among the wanted pairs of differently labelled nodes; labels are joined as links are found.
+
+    Nodes that a link has just connected need no further link, so there are fewer links than nodes.
+    """
+    wanted = wanted & (one.label[:, None] != two.label[None, :])
+    if one.signature is not None:
+        for i in np.flatnonzero(wanted.any(axis=1)):
+            at = np.flatnonzero(wanted[i])
+            alive = at[_screen(np.broadcast_to(one.signature[i], (len(at), plan.hashes)), two.signature[at], table)]
+            wanted[i] = False
+            wanted[i, alive] = True
+    rows, columns = np.flatnonzero(wanted.any(axis=1)), np.flatnonzero(wanted.any(axis=0))
+    out: list[tuple[int, int]] = []
+    if not len(rows):
+        return out
+    both, size_a, size_b = _shared([one.full(i) for i in rows], [two.full(j) for j in columns])
+    whole = size_a[:, None] + size_b[None, :] - both
+    alike = (plan.den * both >= plan.num * whole) & wanted[np.ix_(rows, columns)]
+    for i, j in zip(*np.nonzero(alike), strict=True):
+        i, j = rows[i], columns[j]
+        if one.label[i] != two.label[j]:
+            out.append((int(one.node[i]), int(two.node[j])))
+            old, now = two.label[j], one.label[i]
+            one.label[one.label == old] = now
+            two.label[two.label == old] = now
+    return out
+
+
+def _pair_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({k: pa.array([p[i] for p in found], pa.int64()) for i, k in enumerate("ab")})
+
+
+def _blocked(members: DataFrame, payload: DataFrame, *more: str) -> DataFrame:
+    """(hub, block, rows): the payloads of each block's members, a bounded number of bounded bytes."""
+    rows = F.collect_list(F.struct("node", *more, "sig", "set")).alias("rows")
+    return members.join(payload.drop("bytes"), "node").groupBy("hub", "block").agg(rows)
+
+
+def _within(members: DataFrame, payload: DataFrame, plan: Banding, table: list[tuple[int, int]], unpack: Callable[[bytes], np.ndarray], screened: bool) -> DataFrame:
+    """Links inside the blocks, each with its hub: hub against members first, then those still apart."""
+
+    def compare(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, int]] = []
+        for hub, rows in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+            side = _Side(rows.values, np.arange(len(rows.values)), plan, unpack, screened)
+            n = len(side.node)
+            first = np.zeros((n, n), dtype=bool)
+            first[np.flatnonzero(side.node == hub)[:1]] = True
+            found += _links(side, side, first, plan, table)
+            if n > 2:
+                found += _links(side, side, np.triu(np.ones((n, n), dtype=bool), 1), plan, table)
+        yield _pair_batch(found)
+
+    hubs = members.select("hub", "block").distinct().select("hub", "block", F.col("hub").alias("node"))
+    return arrow_map(_blocked(members.select("hub", "block", "node").union(hubs), payload), compare, "a bigint, b bigint", rows=32)
+
+
 def _across(
-    members: DataFrame, first: DataFrame, payload: DataFrame, plan: Banding, table: list[tuple[int, int]], unpack: Callable[[bytes], np.ndarray], screened: bool
-) -> DataFrame:
-    """Confirmed links between nodes that shared a bucket under one hub and are not both linked to it.
+    members: DataFrame, linked: DataFrame, payload: DataFrame, plan: Banding, table: list[tuple[int, int]], unpack: Callable[[bytes], np.ndarray], screened: bool
+) -> DataFrame | None:
+    """Links between members of one hub that lie in different blocks and, so far, different components.
 
-    Members of a hub are dealt to blocks of about BLOCK nodes with their signatures and sets; a pair
-    of blocks is compared in memory, and only links leave it. Nodes that a link has just joined
-    need no further comparison there, so a block emits fewer links than it has nodes.
+    Members are dealt anew: a component with a block's worth of members under a hub gets blocks of
+    its own, and pairs of its blocks are left out; the others share blocks. What is compared grows
+    with the members outside the largest component times all members.
     """
-    linked = first.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.lit(True).alias("linked"))
-    labelled = members.where("node <> hub").select("hub", "node").distinct().join(linked, ["node", "hub"], "left").select(
-        "hub", "node", F.when(F.col("linked"), F.col("hub")).otherwise(F.col("node")).alias("comp")
-    )
-    mixed = (
-        labelled.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
-        .where("lo <> hi").select("hub", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    labelled = members.join(linked, "node", "left").select("hub", "node", F.coalesce("comp", "node").alias("comp"))
+    mixed = labelled.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("hub")
+    labelled = materialize(labelled.join(mixed, "hub"))
+    if labelled.isEmpty():
+        discard(labelled)
+        return None
+    weight = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
+    weighed = labelled.join(payload.select("node", "bytes"), "node").groupBy("hub", "comp").agg(weight.alias("blocks"), F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    own = weighed.withColumn("own", F.when((F.col("n") >= BLOCK) | (F.col("bytes") >= BLOCK_BYTES), F.col("comp")))
+    shared = own.where("own IS NULL").groupBy("hub").agg(
+        F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("shared")
     )
-    blocks = materialize(
-        labelled.join(mixed, "hub")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .join(payload, "node")
-        .groupBy("hub", "block").agg(F.collect_list(F.struct("node", "comp", "sig", "set")).alias("rows"))
-    )
-    other = blocks.select("hub", F.col("block").alias("block_b"), F.col("rows").alias("rows_b"))
-    both = blocks.join(other, "hub").where("block <= block_b").select("rows", "rows_b")
+    plans = materialize(own.join(shared, "hub", "left").select("hub", "comp", "own", F.when(F.col("own").isNull(), F.col("shared")).otherwise(F.col("blocks")).alias("blocks")))
+    index = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    block = lambda i: F.xxhash64(F.coalesce("own", F.lit(0)), F.col("own").isNull(), i)
+    blocks = materialize(_blocked(labelled.join(plans, ["hub", "comp"]).select("hub", "node", "comp", block(index).alias("block")), payload, "comp"))
+    listed = plans.select("hub", "own", "blocks").distinct().select("hub", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
+    listed = materialize(listed.select("hub", "own", block(F.col("i")).alias("block")))
+    other = listed.select("hub", F.col("own").alias("own_b"), F.col("block").alias("block_b"))
+    pairs = listed.join(other, "hub").where("block <= block_b AND (own IS NULL OR own_b IS NULL OR own <> own_b)").select("hub", "block", "block_b")
+    # A hub's pairs of blocks are dealt by hub and block, not by hub.
+    both = pairs.join(blocks, ["hub", "block"]).join(blocks.select("hub", F.col("block").alias("block_b"), F.col("rows").alias("rows_b")), ["hub", "block_b"])
 
     def compare(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        a_out: list[int] = []
-        b_out: list[int] = []
+        found: list[tuple[int, int]] = []
         for one, two in zip(batch.column(0), batch.column(1), strict=True):
-            (na, ca, ga, xa), (nb, cb, gb, xb) = (
-                (r.field(0).to_pylist(), r.field(1).to_numpy(zero_copy_only=False).copy(), r.field(2), r.field(3).to_pylist()) for r in (one.values, two.values)
-            )
-            open_pairs = ca[:, None] != cb[None, :]
-            if screened and open_pairs.any():
-                left, right = _matrix(ga, plan.hashes), _matrix(gb, plan.hashes)
-                for i in range(len(na)):
-                    at = np.flatnonzero(open_pairs[i])
-                    alive = at[_screen(np.broadcast_to(left[i], (len(at), plan.hashes)), right[at], table)] if len(at) else at
-                    open_pairs[i] = False
-                    open_pairs[i, alive] = True
-            rows, columns = np.flatnonzero(open_pairs.any(axis=1)), np.flatnonzero(open_pairs.any(axis=0))
-            if not len(rows):
-                continue
-            set_a, set_b = [unpack(xa[i]) for i in rows], [unpack(xb[j]) for j in columns]
-            both, size_a, size_b = _shared(set_a, set_b)
-            whole = size_a[:, None] + size_b[None, :] - both
-            alike = (plan.den * both >= plan.num * whole) & open_pairs[np.ix_(rows, columns)]
-            for i, j in zip(*np.nonzero(alike), strict=True):
-                i, j = rows[i], columns[j]
-                if ca[i] != cb[j]:
-                    a_out.append(na[i])
-                    b_out.append(nb[j])
-                    old, now = cb[j], ca[i]
-                    ca[ca == old] = now
-                    cb[cb == old] = now
-        yield pa.RecordBatch.from_pydict({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
-
-    found = arrow_map(both, compare, "a bigint, b bigint", rows=8)  # a row is two blocks
-    found = materialize(found)
-    found.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    discard(blocks)
+            a, b = (_Side(x.values, x.values.field("comp").to_numpy(zero_copy_only=False).copy(), plan, unpack, screened) for x in (one, two))
+            found += _links(a, b, np.ones((len(a.node), len(b.node)), dtype=bool), plan, table)
+        yield _pair_batch(found)
+
+    found = materialize(arrow_map(both.select("rows", "rows_b"), compare, "a bigint, b bigint", rows=8))
+    discard(labelled, plans, blocks, listed)
     return found
 
 
 def link(
-    nodes: DataFrame, fetch: Callable[[object], DataFrame], plan: Banding, miss: float, screened: bool = True,
+    nodes: DataFrame, fetch: Callable[[DataFrame], tuple[DataFrame, object]], plan: Banding, miss: float, screened: bool = True,
     unpack: Callable[[bytes], np.ndarray] = stored_set,
 ) -> DataFrame:
     """(node, comp) for every node that has a link; comp is the smallest node reachable.
 
-    nodes: node bigint, bands array<bigint>. fetch: from a broadcast bitmap of nodes to at least
-    those nodes' (node bigint, sig binary, set binary), one row each; sig may be null where nothing
-    is screened. unpack: from the set's binary to its hashes,
-    in any order and with repeats.
+    nodes: node bigint, bands array<bigint>; a node may come several times. fetch: from a table of
+    nodes to at least those nodes' (node bigint, sig binary, set binary) and a broadcast that is not
+    needed afterwards (or None); of rows that repeat a node one counts; sig may be null where nothing
+    is screened. unpack: from the set's binary to its hashes, in any order and with repeats.
     """
     exploded = nodes.select("node", F.explode("bands").alias("key"))
     keys = materialize(
@@ -277,19 +282,31 @@ def link(
         hit = in_bitmap(shared.value, key)
         yield pa.RecordBatch.from_pydict({"node": node[hit], "key": key[hit]})
 
-    found = arrow_map(nodes.select("node", "bands"), bucketed, "node bigint, key bigint")
-    members = materialize(found.join(keys, "key").select("key", "hub", "node").distinct())
-    involved = members.select("node").distinct()
-    payload = materialize(fetch(key_bitmap(involved, "node")).join(involved, "node", "left_semi"))
+    found = arrow_map(nodes.select("node", "bands"), bucketed, "node bigint, key bigint", rows=10_000) if shared else exploded
+    members = materialize(found.join(keys, "key").select("hub", "node").where("node <> hub").distinct())
+    involved = materialize(members.select("node").union(members.select("hub")).distinct())
+    payload, wanted = fetch(involved)
+    payload = payload.join(involved, "node", "left_semi").groupBy("node").agg(F.first("sig").alias("sig"), F.first("set").alias("set"))
+    payload = materialize(payload.withColumn("bytes", F.octet_length("set").cast("bigint")))
+    for bitmap in (shared, wanted):
+        if bitmap:
+            bitmap.destroy()
 
     table = plan.screen_table(miss)
-    pairs = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    if screened:
-        pairs = _screened(pairs, payload, plan, table)
-    first = materialize(_confirm(pairs, payload, plan, unpack, unpack is stored_set))
-    second = _across(members, first, payload, plan, table, unpack, screened)
-    final = materialize(components(first.union(second)))
-    discard(keys, members, payload, first, second)
+    weighed = members.join(payload.select("node", "bytes"), "node").groupBy("hub").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("n") / (BLOCK - 1)), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    large = materialize(weighed.select("hub", blocks.alias("blocks")).where("blocks > 1"))
+    placed = members.join(large, "hub", "left").withColumn("block", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    first = materialize(_within(placed, payload, plan, table, unpack, screened))
+    final = components(first)
+    several = members.join(large.select("hub"), "hub", "left_semi")
+    second = _across(several, final, payload, plan, table, unpack, screened)
+    if second is not None and not second.isEmpty():
+        known = final.select(F.col("node").alias("a"), F.col("comp").alias("b"))
+        whole = components(known.union(second))
+        discard(final)
+        final = whole
+    discard(keys, members, involved, payload, large, first, *([second] if second is not None else []))
     return final
 
 

@@ -4,6 +4,8 @@ Format, below one folder (all tables are zstd Parquet, so any Spark file system
 
 * ``chunks``    hash binary(16), n int, ids binary — each distinct chunk once; ids are
   little-endian unsigned integers of ``id_bytes`` bytes
+* ``frequent``  hash — the chunks that more than one in HOT_SHARE recipe rows name; readers deal
+  them to salts
 * ``recipes``   uid, doc_id, at, n, hash — a document is its chunks in the order of ``at``
 * ``documents`` uid, doc_id, rank, start, n_tokens, root — in ascending doc_id order; ``start``
   counts the ids of all documents before; root is the digest of the recipe's hashes in order
@@ -33,12 +35,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, discard, materialize, mix64, running_start, work_folder
+from .common import arrow_map, discard, materialize, mix64, running_starts, sliced, work_folder
 from .tokens import encoder
 
 WINDOW = 16
 MINIMUM, MAXIMUM, MASK_BITS = 64, 4096, 9
 FAN = 1024
+#: A chunk that more than one in so many recipe rows name is joined in this many salted parts.
+HOT_SHARE, SALTS = 1000, 32
+#: Ids of a document that ``read_ids`` puts in one row, give or take a chunk.
+PART = 1 << 20
 #: Chunk hashes that one task remembers to leave out repeats before the shuffle.
 SEEN = 200_000
 
@@ -96,7 +102,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         uid, seen = TaskContext.get().partitionId() << 40, set()
-        for batch in batches:
+        for batch in sliced(batches):
             rows: list[tuple] = []
             raw = [r + end for r in encode.many(batch.column(1).to_pylist())]
             bounds = np.cumsum([len(r) // 4 for r in raw]).tolist()
@@ -123,18 +129,19 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -
             names = ["uid", "doc_id", "at", "n", "hash", "ids", "n_tokens", "root"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"))
     staged = materialize(rows.mapInArrow(
         chunk, "uid bigint, doc_id bigint, at bigint, n int, hash binary, ids binary, n_tokens bigint, root binary"
     ))
     write = lambda df, name: df.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{name}")
     write(staged.where("ids is not null").groupBy("hash").agg(F.first("n").alias("n"), F.first("ids").alias("ids")), "chunks")
+    often = staged.groupBy("hash").agg(F.count("*").alias("uses")).where(F.col("uses") * HOT_SHARE > staged.count())
+    write(often.select("hash").coalesce(1), "frequent")
     heads = staged.where("root is not null").select("uid", "doc_id", "n_tokens", "root", F.lit(1).alias("one"))
-    ranked = running_start(running_start(heads, ["doc_id", "uid"], "n_tokens", "start"), ["doc_id", "uid"], "one", "rank")
-    write(ranked.select("uid", "doc_id", "rank", "start", "n_tokens", "root").repartitionByRange("doc_id", "uid").sortWithinPartitions("doc_id", "uid"), "documents")
+    ranked = running_starts(heads, ["doc_id", "uid"], start="n_tokens", rank="one")
+    write(ranked.select("uid", "doc_id", "rank", "start", "n_tokens", "root"), "documents")
     recipes = staged.select("uid", "doc_id", "at", "n", "hash")
-    write(recipes.repartitionByRange("doc_id", "uid").sortWithinPartitions("doc_id", "uid", "at"), "recipes")
+    write(recipes.repartitionByRange("doc_id", "uid", "at").sortWithinPartitions("doc_id", "uid", "at"), "recipes")
     write(_tree(spark.read.parquet(f"{folder}/documents")), "manifest")
     write(spark.createDataFrame(
         [(4 if wide else 2, end_id, WINDOW, MINIMUM, MAXIMUM, MASK_BITS)],
@@ -195,6 +202,16 @@ def shift_crc(crc: np.ndarray, following: np.ndarray) -> np.ndarray:
     return crc
 
 
+def _with_chunks(spark: SparkSession, folder: str, recipes: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Recipe rows with their chunk's columns; a chunk that many documents share is dealt to salts."""
+    # At most HOT_SHARE chunks can have more than that share of the uses.
+    hot = F.broadcast(spark.read.parquet(f"{folder}/frequent").select("hash", F.lit(SALTS).alias("salts")))
+    salts = F.coalesce("salts", F.lit(1))
+    salted = recipes.join(hot, "hash", "left").withColumn("salt", F.pmod(F.xxhash64("uid", "at"), salts).cast("int")).drop("salts")
+    spread = chunks.join(hot, "hash", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return salted.join(spread, ["hash", "salt"]).drop("salt")
+
+
 def read_store(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, n_chunks) per document, verified from the files.
 
@@ -206,21 +223,21 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
 
     def check(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         crc = []
-        for h, n, ids in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2), strict=True):
+        for h, n, ids in zip(*batch.columns, strict=True):
             data = ids.as_py()
-            if _digest(data) != h.as_py() or len(data) != n * form.id_bytes:
+            if _digest(data) != h.as_py() or len(data) != n.as_py() * form.id_bytes:
                 raise ValueError("a chunk differs from the hash it is stored under")
             crc.append(zlib.crc32(np.frombuffer(data, dtype=kind).astype("<u4")))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crc, pa.int64())], ["hash", "crc"])
 
-    chunks = arrow_map(spark.read.parquet(f"{folder}/chunks").select("hash", "n", "ids"), check, "hash binary, crc bigint")
+    checked = arrow_map(spark.read.parquet(f"{folder}/chunks").select("hash", "n", "ids"), check, "hash binary, crc bigint")
     documents = spark.read.parquet(f"{folder}/documents")
     tree = spark.read.parquet(f"{folder}/manifest")
     ours = _tree(documents)
     if ours.exceptAll(tree).union(tree.exceptAll(ours)).limit(1).count():
         raise ValueError("the Merkle tree differs from the documents' roots")
     recipes = spark.read.parquet(f"{folder}/recipes").select("uid", "at", "n", "hash")
-    parts = recipes.join(chunks, "hash").join(documents.select("uid", "n_tokens"), "uid").select(
+    parts = _with_chunks(spark, folder, recipes, checked).join(documents.select("uid", "n_tokens"), "uid").select(
         "uid", "at", "n", "hash", "crc", (4 * (F.col("n_tokens") - F.col("at") - F.col("n"))).alias("following")
     )
 
@@ -249,12 +266,15 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, ids) with each document's ids as little-endian bytes of ``id_bytes`` each."""
+    """(doc_id, start, ids): ids as little-endian bytes of ``id_bytes`` each, ``start`` counted over all documents.
+
+    A document is one row, or one row for each PART of its ids where it has more.
+    """
     chunks = spark.read.parquet(f"{folder}/chunks").select("hash", "ids")
-    recipes = spark.read.parquet(f"{folder}/recipes").select("uid", "at", "hash").join(chunks, "hash")
-    whole = recipes.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("parts"))  # one document
+    recipes = _with_chunks(spark, folder, spark.read.parquet(f"{folder}/recipes").select("uid", "at", "hash"), chunks)
+    whole = recipes.groupBy("uid", F.floor(F.col("at") / PART).alias("part")).agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("parts"))
     return spark.read.parquet(f"{folder}/documents").join(whole, "uid").select(
-        "doc_id", "start", F.expr("aggregate(parts, X'', (b, p) -> concat(b, p.ids))").alias("ids")
+        "doc_id", (F.col("start") + F.col("parts")[0]["at"]).alias("start"), F.expr("aggregate(parts, X'', (b, p) -> concat(b, p.ids))").alias("ids")
     )
 
 

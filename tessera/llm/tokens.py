@@ -15,19 +15,20 @@ from functools import lru_cache
 
 import numpy as np
 
-from .common import _BYTE_VALUES, _range_hashes
+from .common import RangeHashes
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Most words, and most stems, that one worker process keeps, in two generations of half each.
-CACHE = 400_000
+#: Most words that one worker process keeps, and most stems, these in two generations of half each.
+CACHE = 1_000_000
+CACHE_STEMS = 200_000
 CACHE_TAILS = 10_000
 #: Letters below are composed, have lower case one by one, and are letters in every Unicode version.
 LATIN = "\u0130"
 #: Signs that may close a word; none starts a contraction.
 CLOSING = ".,;:!?*#$%&|"
 #: Code points of text that are looked up together.
-PIECE = 1 << 19
+PIECE = 1 << 21
 _LEADS = {0: "", 0x20: " ", 0x0A: "\n"}
 
 
@@ -50,7 +51,7 @@ class _Cache:
 
     def lacking(self, keys: set[str]) -> list[str]:
         """The keys without a value; those of the older half are brought over."""
-        if len(self.new) >= CACHE // 2:
+        if len(self.new) >= CACHE_STEMS // 2:
             self.old, self.new = self.new, {}
         out = []
         for key in keys - self.new.keys():
@@ -69,15 +70,26 @@ class _Words:
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.hashes, self.slots = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int32)  # ascending, and each one's place below
         self.ids = np.empty(1 << 16, dtype="<u4")
-        self.start, self.length, self.used = np.empty(1 << 16, dtype=np.int64), np.empty(1 << 16, dtype=np.int64), 0
-        self.edged = np.zeros(1 << 16, dtype=np.int64)  # whether other white space begins or ends the word
+        self.start, self.length = np.empty(1 << 16, dtype=np.int64), np.empty(1 << 16, dtype=np.int32)
+        self.edged, self.used = np.zeros(1 << 16, dtype=bool), 0  # whether other white space begins or ends the word
 
-    def add(self, hashes: list[int], made: list[bytes], edged: list[bool]) -> None:
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, -1 for those unknown; where in the order they belong) of ascending hashes."""
+        at = np.searchsorted(self.hashes, hashes)
+        if not len(self.hashes):
+            return np.full(len(hashes), -1, dtype=np.int64), at
+        near = np.minimum(at, len(self.hashes) - 1)
+        return np.where(self.hashes[near] == hashes, self.slots[near], -1).astype(np.int64), at
+
+    def add(self, hashes: np.ndarray, at: np.ndarray, made: list[bytes], edged: list[bool]) -> None:
         flat = np.frombuffer(b"".join(made), dtype="<u4")
         lengths = np.fromiter(map(len, made), dtype=np.int64, count=len(made)) // 4
-        first, n = len(self.slot), len(made)
+        first, n = len(self), len(made)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         while first + n > len(self.start):
@@ -87,7 +99,7 @@ class _Words:
         self.length[first : first + n] = lengths
         self.edged[first : first + n] = edged
         self.used += len(flat)
-        self.slot.update(zip(hashes, range(first, first + n), strict=True))
+        self.hashes, self.slots = np.insert(self.hashes, at, hashes), np.insert(self.slots, at, np.arange(first, first + n, dtype=np.int32))
 
 
 class Encoder:
@@ -118,13 +130,17 @@ class Encoder:
     def _model_ids(self, texts: list[str]) -> list[bytes]:
         """Ids of texts of letters alone: one word to the pre-tokenizer, so the model is asked directly."""
         out, tokenize, odd = [b""] * len(texts), self.tokenizer.model.tokenize, []
+        spaced, lead = bool(self.lead), _SPELLED[0x20]
         for i, text in enumerate(texts):
             # Beyond Latin letters the normalizer might have more to do than lower case.
-            if max(text) < LATIN:
-                spelled = text if not self.lead and text.isascii() else text.encode().decode("latin-1").translate(_SPELLED)
-                out[i] = array("I", [t.id for t in tokenize(spelled)]).tobytes()
+            if text.isascii():
+                spelled = lead + text[1:] if spaced else text
+            elif max(text) < LATIN:
+                spelled = text.encode().decode("latin-1").translate(_SPELLED)
             else:
                 odd.append(i)
+                continue
+            out[i] = array("I", [t.id for t in tokenize(spelled)]).tobytes()
         for i, ids in zip(odd, self._encode([texts[i] for i in odd]), strict=True):
             out[i] = ids
         return out
@@ -188,24 +204,21 @@ class Encoder:
             first = np.concatenate([[0], words_upto[:-1]])[np.diff(np.concatenate([[0], words_upto])) > 0]
             leads = leads.copy()
             leads[first] = 0
-        hashes = _range_hashes(data, starts, ends, _BYTE_VALUES) + leads.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        hashes = RangeHashes(data, starts)(starts, ends) + leads.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         distinct, at, which = np.unique(hashes, return_index=True, return_inverse=True)
-        slot = self.words.slot
-        if len(slot) + len(distinct) > CACHE:
+        if len(self.words) + len(distinct) > CACHE:
             self.words.clear()
-            slot = self.words.slot
-        keys = distinct.tolist()
-        places = np.fromiter((slot.get(k, -1) for k in keys), dtype=np.int64, count=len(keys))
+        places, order = self.words.find(distinct)
         lacking = np.flatnonzero(places < 0)
         if len(lacking):
             whole = data.tobytes()
             spans = zip(starts[at[lacking]].tolist(), ends[at[lacking]].tolist(), leads[at[lacking]].tolist(), strict=True)
             words = [(_LEADS[k], whole[a:b].decode("utf-8", "surrogatepass")) for a, b, k in spans]
-            places[lacking] = np.arange(len(slot), len(slot) + len(lacking))
+            places[lacking] = np.arange(len(self.words), len(self.words) + len(lacking))
             edged = [w[0].isspace() or w[-1].isspace() for _, w in words]
-            self.words.add([keys[i] for i in lacking.tolist()], self._made(words), edged)
+            self.words.add(distinct[lacking], order[lacking], self._made(words), edged)
         place = places[which]
-        lengths = self.words.length[place]
+        lengths = self.words.length[place].astype(np.int64)
         upto = np.cumsum(lengths)
         order = np.repeat(self.words.start[place] - upto + lengths, lengths) + np.arange(upto[-1] if len(upto) else 0)
         ids = self.words.ids[order].tobytes()

@@ -5,12 +5,14 @@ words and word beginnings; the document's score is their noisy-or, 1 - prod(1 -
 labels are needed to train; the sentence scores then locate what is offensive.
 
 The classifier is fitted on at most ``sample`` labelled documents (those with the smallest seeded
-hash of doc_id, so the choice does not depend on the data's layout). Scoring reads every whole
-text. The model is a weight vector of fixed size.
+hash of doc_id, so the choice does not depend on the data's layout) and at most ``most_bytes`` of
+their text in that order. It is trained in one executor task, whose input is bounded by both;
+only the weights, a vector of fixed size, reach the driver. Scoring reads every whole text.
 
 Defined results: null, empty or word-less text scores 0. Labels with a null doc_id or a null mark
-are not used; a document labelled both ways counts as toxic. Without labels of both kinds every
-score is 0. Repeated documents are scored row by row. Other columns are ignored.
+are not used; a document labelled both ways counts as toxic; of rows that repeat a labelled doc_id
+the one with the smallest text hash is learned. Without labels of both kinds every score is 0.
+Repeated documents are scored row by row. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,12 +25,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import _BYTE_VALUES, _range_hashes, arrow_map, list_array
+from .common import RangeHashes, arrow_map, discard, list_array, materialize
 
 DIMENSIONS = 1 << 18
 #: Most labelled documents that the classifier is fitted on.
 SAMPLE = 8000
+#: Most bytes of their texts.
+SAMPLE_BYTES = 64 << 20
 THRESHOLD = 0.7
 #: Lengths, in bytes of UTF-8, of the word beginnings that are features beside whole words.
 BEGINNINGS = (4, 5, 6)
@@ -60,18 +65,8 @@ def sentence_features(text: str | None, dimensions: int = DIMENSIONS) -> tuple[n
         highs.append(starts[longer] + n)
         owners.append(sentence[longer])
     low, high = np.concatenate(lows), np.concatenate(highs)
-    out, owner, step = [], np.concatenate(owners), 1 << 20
-    base = 0
-    # Positions are taken relative to pieces of the text, so that very long texts need no long tables.
-    order = np.argsort(low, kind="stable")
-    low, high, owner = low[order], high[order], owner[order]
-    while base < len(low):
-        origin = low[base]
-        stop = np.searchsorted(low, origin + step, side="left")
-        part = data[origin : high[base:stop].max()]
-        out.append(_range_hashes(part, low[base:stop] - origin, high[base:stop] - origin, _BYTE_VALUES))
-        base = stop
-    feature = (np.concatenate(out) % np.uint64(dimensions)).astype(np.int64)
+    owner, hashes = np.concatenate(owners), RangeHashes(data, starts)
+    feature = (hashes(low, high) % np.uint64(dimensions)).astype(np.int64)
     both = np.unique(owner * dimensions + feature)  # a word counts once in a sentence
     return (both % dimensions).astype(np.int32), (both // dimensions).astype(np.int32)
 
@@ -151,13 +146,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, dimensions: int = DIMENSIONS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, dimensions: int = DIMENSIONS, most_bytes: int = SAMPLE_BYTES) -> Model:
     """Train on a bounded, seeded sample of the labelled documents outside the held-out fold."""
     marks = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy(F.col("doc_id").cast("bigint").alias("id")).agg(F.max("toxic").alias("mark"))
         .orderBy(F.xxhash64("id", F.lit(10)), "id").limit(sample)
     )
+    texts = docs.select("doc_id", "text").join(F.broadcast(marks), F.col("doc_id") == F.col("id")).select("id", "mark", "text", F.xxhash64("text").alias("_hash"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("_bytes"))
+    texts = materialize(texts)
+    # One row per label, then a running sum over at most ``sample`` rows.
+    rows = texts.groupBy("id").agg(F.min(F.struct("_hash", "_bytes")).alias("r")).select("id", "r._hash", "r._bytes")
+    upto = F.sum("_bytes").over(Window.orderBy(F.xxhash64("id", F.lit(10)), "id"))
+    rows = rows.withColumn("_upto", upto).where(F.col("_upto") <= most_bytes).select(F.col("id").alias("_id"), F.col("_hash").alias("_chosen"))
+    chosen = texts.join(F.broadcast(rows), F.expr("id = _id AND _hash <=> _chosen")).select("id", "mark", "text")
 
     def extract(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         found = [sentence_features(t.as_py(), dimensions) for t in batch.column(2)]
@@ -166,14 +168,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, dimensions: in
             ["id", "mark", "features", "owner"],
         )
 
-    chosen = docs.select("doc_id", "text").join(F.broadcast(marks), F.col("doc_id") == F.col("id")).select("id", "mark", "text")
-    rows = arrow_map(chosen, extract, "id bigint, mark int, features array<int>, owner array<int>").toArrow()
-    rows = rows.sort_by("id").combine_chunks()
-    if not len(rows):
-        return train([], np.empty(0), dimensions)
-    lists = [rows.column(c).combine_chunks() for c in ("features", "owner")]
-    bags = [tuple(x[i].values.to_numpy() for x in lists) for i in range(len(rows))]
-    return train(bags, rows.column("mark").to_numpy(), dimensions)
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bags: dict[int, tuple] = {}
+        for batch in batches:
+            for i, mark, features, owner in zip(*batch.columns, strict=True):
+                bags[i.as_py()] = (mark.as_py(), features.values.to_numpy().copy(), owner.values.to_numpy().copy())
+        order = sorted(bags)
+        model = train([bags[i][1:] for i in order], np.array([bags[i][0] for i in order]), dimensions)
+        yield pa.RecordBatch.from_pydict({"weights": pa.array([model.weights.tobytes()], pa.binary())})
+
+    bags = materialize(arrow_map(chosen, extract, "id bigint, mark int, features array<int>, owner array<int>"))
+    found = bags.repartition(1).mapInArrow(learn, "weights binary").collect()  # one row of fixed size
+    discard(texts, bags)
+    return Model(np.frombuffer(found[0].weights)) if found else train([], np.empty(0), dimensions)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -135,10 +135,10 @@ def test_screen_keeps_what_may_be_alike():
 
 
 def lines_removed(rows: list[tuple], num: int = 80, width: int = 8) -> dict[int, int]:
-    lines = [(i, k, raw.strip(b" \t\n\x0b\x0c\r")) for i, text, *_ in rows if text for k, raw in enumerate(text.encode().split(b"\n"))]
+    lines = [(i, k, raw.strip(" \t\n\x0b\x0c\r")) for i, text, *_ in rows if text for k, raw in enumerate(text.split("\n"))]
     lines = [x for x in lines if x[2]]
     distinct = list(dict.fromkeys(x[2] for x in lines))
-    sets = [frozenset(l[a : a + width] for a in range(max(1, len(l) - width + 1))) if len(l) > width else frozenset([b"=" + l]) for l in distinct]
+    sets = [frozenset(l[a : a + width] for a in range(max(1, len(l) - width + 1))) if len(l) > width else frozenset(["=" + l]) for l in distinct]
     of = dict(zip(distinct, classes(sets, num, 100), strict=True))
     seen, out = set(), {}
     for i, _, line in sorted(lines, key=lambda x: x[:2]):

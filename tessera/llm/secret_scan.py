@@ -2,7 +2,10 @@
 
 Every whole text is scanned with the base patterns. Then each layer on the worklist is unwrapped:
 lines with percent or Unicode escapes are decoded in place (with a map from decoded to original
-code points), and base64 runs, plain or compressed, become layers of their own that map to the run.
+code points; a percent sign escaped any number of times is one step), and base64 runs, plain or
+compressed, become layers of their own that map to the run. A run that is no text as a whole is
+tried again behind each of its slashes, dashes and underscores, as behind a path or a prefix.
+Decoded bytes count as text where they are UTF-8 with at most one unprintable character in twenty.
 New layers are rescanned and unwrapped in turn until nothing new appears; a digest of each layer
 already seen at its place stops cycles and repeats. Spans always refer to the original text.
 Compressed layers are read to their end, member by member, and large ones scanned in pieces.
@@ -46,11 +49,13 @@ PIECE = 1 << 22
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 _ESCAPE = re.compile(
-    r"(?P<url>(?:%[0-9A-Fa-f]{2})+)"
+    r"(?P<url>(?:%(?:25)*[0-9A-Fa-f]{2})+)"
     r"|\\u\{(?P<braced>[0-9A-Fa-f]{1,6})\}|\\u(?P<four>[0-9A-Fa-f]{4})|\\U(?P<eight>[0-9A-Fa-f]{8})|\\x(?P<two>[0-9A-Fa-f]{2})"
     r"|&#(?:[xX](?P<refhex>[0-9A-Fa-f]{1,6})|(?P<ref>[0-9]{1,7}));"
 )
+_ESCAPED_BYTE = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_SEPARATOR = re.compile(r"[/_-]")
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 _WRAPPED_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 #: A line feed after a character that is not base64.
@@ -72,22 +77,44 @@ def base_spans(text: str) -> list[Span]:
 
 
 class _Layer:
-    """A decoded text made of pieces of its parent.
+    """A decoded text and where it comes from.
 
-    A piece (at, a, b, plain) starts at ``at`` and came from parent[a:b], character by character if
-    plain and as a whole otherwise. ``place`` maps spans of the parent to the original text.
+    From ``starts[i]`` on, characters came from original[a:b] of ``spans[i]`` = (a, b, plain): one by one if
+    plain and as a whole otherwise. Maps are composed when a layer is made, so a lookup is one search
+    at any depth.
     """
 
-    def __init__(self, text: str, pieces: list[tuple[int, int, int, bool]], place) -> None:
-        self.text, self.pieces, self.place = text, pieces, place
-        self.starts = [p[0] for p in pieces]
+    def __init__(self, text: str, starts: list[int], spans: list[tuple[int, int, bool]]) -> None:
+        self.text, self.starts, self.spans = text, starts, spans
 
-    def _one(self, i: int) -> tuple[int, int]:
-        at, a, b, plain = self.pieces[bisect_right(self.starts, i) - 1]
-        return self.place(a + i - at, a + i - at + 1) if plain else self.place(a, b)
+    @classmethod
+    def whole(cls, text: str) -> _Layer:
+        return cls(text, [0], [(0, len(text), True)])
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
-        return self._one(start)[0], self._one(end - 1)[1]
+        i, j = bisect_right(self.starts, start) - 1, bisect_right(self.starts, end - 1) - 1
+        a, _, plain = self.spans[i]
+        low = a + start - self.starts[i] if plain else a
+        a, b, plain = self.spans[j]
+        return low, a + end - self.starts[j] if plain else b
+
+    def inside(self, text: str, pieces: list[tuple[int, int, int, bool]]) -> _Layer:
+        """A layer made of pieces (at, a, b, plain) of this one's text."""
+        starts: list[int] = []
+        spans: list[tuple[int, int, bool]] = []
+        for at, a, b, plain in pieces:
+            if not plain:
+                starts.append(at)
+                spans.append((*self.origin(a, b), False))
+                continue
+            i = bisect_right(self.starts, a) - 1
+            while a < b:
+                until = min(b, self.starts[i + 1]) if i + 1 < len(self.starts) else b
+                low, high, same = self.spans[i]
+                starts.append(at)
+                spans.append((low + a - self.starts[i], low + until - self.starts[i], True) if same else (low, high, False))
+                at, a, i = at + until - a, until, i + 1
+        return _Layer(text, starts, spans)
 
 
 def _utf8_pieces(data: bytes) -> Iterator[tuple[str, int]]:
@@ -103,10 +130,11 @@ def _utf8_pieces(data: bytes) -> Iterator[tuple[str, int]]:
         at += n
 
 
-def _unescape(text: str, place) -> _Layer:
+def _unescape(layer: _Layer, low: int, high: int) -> _Layer:
+    """The layer that layer.text[low:high] is with its escapes decoded."""
     out: list[str] = []
     pieces: list[tuple[int, int, int, bool]] = []
-    size = at = 0
+    text, size, at = layer.text, 0, low
 
     def add(chars: str, a: int, b: int, plain: bool = False) -> None:
         nonlocal size
@@ -115,22 +143,23 @@ def _unescape(text: str, place) -> _Layer:
             pieces.append((size, a, b, plain))
             size += len(chars)
 
-    for m in _ESCAPE.finditer(text):
+    for m in _ESCAPE.finditer(text, low, high):
         add(text[at : m.start()], at, m.start(), True)
         at = m.end()
         if m["url"]:
-            i = m.start()
-            for char, n in _utf8_pieces(bytes.fromhex(m["url"].replace("%", ""))):
-                add(char, i, i + 3 * n)
-                i += 3 * n
+            escaped = [*_ESCAPED_BYTE.finditer(text, *m.span())]
+            i = 0
+            for char, n in _utf8_pieces(bytes(int(x[1], 16) for x in escaped)):
+                add(char, escaped[i].start(), escaped[i + n - 1].end())
+                i += n
             continue
         code = int(m["ref"]) if m["ref"] else int(m["braced"] or m["four"] or m["eight"] or m["two"] or m["refhex"], 16)
         if code < 0x110000 and not 0xD800 <= code < 0xE000:
             add(chr(code), *m.span())
         else:
             add(m[0], *m.span(), True)
-    add(text[at:], at, len(text), True)
-    return _Layer("".join(out), pieces, place)
+    add(text[at:high], at, high, True)
+    return layer.inside("".join(out), pieces)
 
 
 def _compression(data: bytes) -> Callable | None:
@@ -248,16 +277,48 @@ def _texts(data: bytes) -> Iterator[str]:
             work.append(unfolded.rest)
 
 
-def _decoded(run: str) -> Iterator[str]:
-    """The texts in a base64 run, plain or compressed."""
+def _bytes(run: str) -> bytes | None:
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
-        return
+        return None
     try:
-        data = binascii.a2b_base64(body + "=" * (-len(body) % 4))
+        return binascii.a2b_base64(body + "=" * (-len(body) % 4))
     except binascii.Error:
-        return
-    yield from _texts(data)
+        return None
+
+
+def _decoded(run: str) -> Iterator[str]:
+    """The texts in a base64 run, plain or compressed."""
+    data = _bytes(run)
+    if data:
+        yield from _texts(data)
+
+
+def _promising(run: str, at: int) -> bool:
+    """Whether what the run gives from ``at`` on begins like text or a compressed stream."""
+    head = _bytes(run[at : at + 64])
+    if not head:
+        return False
+    if _compression(head):
+        return True
+    try:
+        text = getincrementaldecoder("utf-8")().decode(head)
+    except UnicodeDecodeError:
+        return False
+    return sum(not (c.isprintable() or c in "\t\r\n") for c in text) * 20 <= len(text)
+
+
+def _suffixes(run: str) -> Iterator[tuple[str, int]]:
+    """(text, start) for the parts behind a separator that decode where the run as a whole does not."""
+    for m in _SEPARATOR.finditer(run):
+        at = m.end()
+        if len(run) - at >= 16 and _promising(run, at):
+            found = False
+            for text in _decoded(run[at:]):
+                found = True
+                yield text, at
+            if found:
+                return
 
 
 def _wrapped_runs(text: str) -> Iterator[tuple[str, int, int]]:
@@ -278,8 +339,9 @@ def _wrapped_runs(text: str) -> Iterator[tuple[str, int, int]]:
             at = end
 
 
-def _unwrapped(text: str, place) -> Iterator[_Layer]:
-    """Layers directly inside ``text``; place(start, end) gives the original span of a piece."""
+def _unwrapped(layer: _Layer) -> Iterator[_Layer]:
+    """Layers directly inside one."""
+    text = layer.text
     if ("%" in text and _PERCENT.search(text)) or "\\" in text or "&#" in text:
         done = -1
         for m in _ESCAPE.finditer(text):
@@ -288,19 +350,24 @@ def _unwrapped(text: str, place) -> Iterator[_Layer]:
             start = text.rfind("\n", 0, m.start()) + 1
             done = text.find("\n", m.end())
             done = len(text) if done < 0 else done
-            yield _unescape(text[start:done], lambda a, b, s=start: place(s + a, s + b))
+            yield _unescape(layer, start, done)
     for m in _BASE64.finditer(text):
+        whole = False
         for inner in _decoded(m[0]):
-            yield _Layer(inner, [(0, *m.span(), False)], place)
+            whole = True
+            yield layer.inside(inner, [(0, *m.span(), False)])
+        if not whole:
+            for inner, at in _suffixes(m[0]):
+                yield layer.inside(inner, [(0, m.start() + at, m.end(), False)])
     for run, start, end in _wrapped_runs(text):
         for inner in _decoded(run):
-            yield _Layer(inner, [(0, start, end, False)], place)
+            yield layer.inside(inner, [(0, start, end, False)])
 
 
 def all_spans(text: str, base: list[Span]) -> list[Span]:
     """Base spans and those of every layer, mapped to the original text, each once."""
     found, seen = set(base), set()
-    work = [_unwrapped(text, lambda a, b: (a, b))]  # layers are made when their turn comes
+    work = [_unwrapped(_Layer.whole(text))]  # layers are made when their turn comes
     while work:
         layer = next(work[-1], None)
         if layer is None:
@@ -313,7 +380,7 @@ def all_spans(text: str, base: list[Span]) -> list[Span]:
             continue
         seen.add(mark)
         found.update((*layer.origin(a, b), kind) for a, b, kind in base_spans(layer.text))
-        work.append(_unwrapped(layer.text, layer.origin))
+        work.append(_unwrapped(layer))
     return sorted(found, key=lambda s: (s[0], s[2], s[1]))
 
 

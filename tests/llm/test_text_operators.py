@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import time
 import base64
 import bz2
 import gzip
@@ -297,3 +299,28 @@ def test_main_path_has_no_python(spark):
     plan = quality.judge(frame(spark, edge_rows()))._jdf.queryExecution().executedPlan().toString()
     plan += quality.statistics(frame(spark, edge_rows()))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_escape_depth_costs_little_and_is_followed_to_its_end():
+    for depth in (1, 3, 16, 10_000):
+        text = "x %" + "25" * depth + "70assword=hunter2hunter2"
+        began = time.monotonic()
+        assert (2, len(text), 0) in secret_scan.all_spans(text, secret_scan.base_spans(text))
+        assert time.monotonic() - began < 1
+
+
+def test_planted_nested_secrets_are_found():
+    """Every chain of up to three wrappings around a secret, behind paths and prefixes too."""
+    wrap = {
+        "percent": lambda s: "".join(f"%{b:02x}" for b in s.encode()), "unicode": lambda s: "".join(f"\\u{ord(c):04x}" for c in s),
+        "base64": lambda s: base64.b64encode(s.encode()).decode(), "gzip": lambda s: base64.b64encode(gzip.compress(s.encode(), mtime=0)).decode(),
+        "zlib": lambda s: base64.urlsafe_b64encode(zlib.compress(s.encode())).decode(),
+    }
+    for depth in (1, 2, 3):
+        for chain in itertools.product(wrap.values(), repeat=depth):
+            inner = "note password=correcthorse9 end"
+            for one in chain:
+                inner = one(inner)
+            for before in ("", "see ", "https://h/path/", "prefix_"):
+                text = f"{before}{inner} tail"
+                assert any(kind == 0 and a >= len(before) - 1 for a, _, kind in secret_scan.all_spans(text, secret_scan.base_spans(text))), text[:200]

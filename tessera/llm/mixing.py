@@ -2,15 +2,15 @@
 
 Each source's target is cut into blocks of equal numbers of words. Blocks go to sources, and within
 a source to its shards, by the highest quotients size / (2 * seats + 1), so quotas are integers
-that add up. A shard is a slice of the source by the seeded digest of doc_id; inside a shard the
-documents lie in the order of that digest and whole epochs come before a partial one, which takes
-the blocks from the front. Only the last document of a shard's quota is taken in part.
+that add up. A shard is a slice of the source by the seeded digest of doc_id. Inside a shard the
+documents lie in the order of that digest, which is the seeded shuffle, and its blocks are numbered
+along it; whole epochs come before a partial one, which takes the quota's first blocks of the shuffle. Only the last document of a shard's quota is taken in part.
 
 One row per source (weights are set per source) reaches the driver; everything per document or
 shard stays distributed.
 
 Defined results: null text has size 0 and is taken 0 times. A null doc_id is digested as empty
-text. Repeated rows are separate documents. Where all sizes are 0, so are the targets. An empty
+text; ties go by size, then by a hash of the text. Repeated rows are separate documents. Where all sizes are 0, so are the targets. An empty
 table gives an empty result. Other columns are ignored (``mixture`` keeps them all).
 """
 
@@ -34,8 +34,10 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2
 BLOCK_WORDS = 16
-#: Hex digits of the digest that name a shard: 256 shards per source.
+#: Hex digits of the digest that name a shard: 256 shards per source, 16 times as many for each
+#: further factor of 16 beyond this many words.
 SHARD_DIGITS = 2
+SHARD_WORDS = 1 << 32
 SEED = "mix-1"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -79,15 +81,22 @@ def source_targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIG
     return [(s, sizes[s], float(weight[s] * rate) if s in free else float(cap * sizes[s])) for s in names]
 
 
-def _plan(docs: DataFrame, seed: str, block: int, shard_digits: int, rows: bool = False) -> DataFrame:
+def shard_digits_for(words: int) -> int:
+    digits = SHARD_DIGITS
+    while words > SHARD_WORDS << 4 * (digits - SHARD_DIGITS):
+        digits += 1
+    return digits
+
+
+def _plan(docs: DataFrame, seed: str, block: int, shard_digits: int | None, rows: bool = False) -> DataFrame:
     spark = docs.sparkSession
     digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     sized = docs.select(
         F.col("doc_id"), F.col("source"), *([F.struct("*").alias("_row")] if rows else []),
         F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint").alias("_size"),
-        digest.alias("_digest"),
+        digest.alias("_digest"), F.xxhash64("text").alias("_tie"),
     )
-    sized = materialize(sized.withColumn("_shard", F.substring("_digest", 1, shard_digits)))
+    sized = materialize(sized)
     totals = {r[0]: r[1] for r in sized.groupBy("source").agg(F.sum("_size")).collect()}
     targets = source_targets(totals)
     blocks = apportion([t for _, _, t in targets], round(sum(t for _, _, t in targets) / block))
@@ -95,7 +104,8 @@ def _plan(docs: DataFrame, seed: str, block: int, shard_digits: int, rows: bool
         [(i, s, size, t, b) for i, ((s, size, t), b) in enumerate(zip(targets, blocks, strict=True))],
         "_sid int, _source string, source_size bigint, target double, _blocks bigint",
     )
-    sized = sized.join(table, F.col("source").eqNullSafe(F.col("_source")))
+    digits = shard_digits or shard_digits_for(sum(totals.values()))
+    sized = sized.withColumn("_shard", F.substring("_digest", 1, digits)).join(table, F.col("source").eqNullSafe(F.col("_source")))
 
     def shares(shards: pd.DataFrame) -> pd.DataFrame:
         shards = shards.sort_values("_shard")
@@ -107,20 +117,20 @@ def _plan(docs: DataFrame, seed: str, block: int, shard_digits: int, rows: bool
         .groupBy("_sid").applyInPandas(shares, "_sid int, _shard string, _words bigint, _blocks bigint, _quota bigint")
         .drop("_blocks")
     )
-    before = Window.partitionBy("_sid", "_shard").orderBy("_digest", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("_sid", "_shard").orderBy("_digest", "_size", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
     partial = F.greatest(F.lit(0), F.least(F.col("_size"), F.expr("_quota % _words") - F.col("_before")))
     taken = F.when(F.col("_words") > 0, F.expr("_quota div _words") * F.col("_size") + partial).otherwise(0)
     return placed.join(quotas, ["_sid", "_shard"]).withColumn("_taken", taken.cast("bigint"))
 
 
-def mix(docs: DataFrame, seed: str = SEED, block: int = BLOCK_WORDS, shard_digits: int = SHARD_DIGITS) -> DataFrame:
+def mix(docs: DataFrame, seed: str = SEED, block: int = BLOCK_WORDS, shard_digits: int | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, taken) per row; taken: words the mix takes, repeats counted."""
     plan = _plan(docs, seed, block, shard_digits)
     return plan.select("doc_id", F.col("_size").alias("size"), "source_size", "target", F.col("_taken").alias("taken"))
 
 
-def mixture(docs: DataFrame, seed: str = SEED, block: int = BLOCK_WORDS, shard_digits: int = SHARD_DIGITS) -> DataFrame:
+def mixture(docs: DataFrame, seed: str = SEED, block: int = BLOCK_WORDS, shard_digits: int | None = None) -> DataFrame:
     """The mix itself, in the columns of ``docs``: a document taken twice is two rows, one taken in part
     is cut after its share of words, one not taken is absent."""
     names = docs.columns

@@ -1,13 +1,12 @@
 """Pattern packing by non-negative least squares.
 
 Piece lengths are counted in a histogram (its size is the sequence length, whatever the corpus).
-Patterns of up to three length classes that fill a sequence are enumerated, their repeat counts
-fitted to the histogram by non-negative least squares and rounded to what it can supply. They are
-filled with true lengths, and what is left is packed best-fit decreasing by true lengths, into the
-room that patterns leave and then new sequences; where that alone needs fewer sequences, it is the
-plan. Only the plan, whose size is bounded by the histogram, exists on the driver; pieces are
-matched to places by their rank among the pieces of one length, dealt over as many salts as the
-length needs.
+Patterns of up to three true lengths that fill a sequence exactly are enumerated, their repeat
+counts fitted to the histogram by non-negative least squares and rounded to what it can supply;
+what is left is fitted again until no pattern is taken. The rest is packed best-fit decreasing,
+into new sequences; where best-fit alone needs fewer sequences, it is the plan. Only the plan,
+whose size is bounded by the histogram, exists on the driver; pieces are matched to places by their
+rank among the pieces of one length, dealt over as many salts as the length needs.
 
 Defined results: null text is empty text (the end id alone). Rows that repeat a doc_id are packed
 row by row. An empty table gives an empty result. Other columns are ignored, whatever their names.
@@ -30,16 +29,16 @@ from .common import arrow_map, discard, materialize
 from .tokens import encoder
 
 SEQUENCE = 2048
-#: Length classes of the patterns; everything else goes by true lengths.
-CLASSES = 512
-#: (length, salt) groups in which pieces are ranked.
-RANK_GROUPS = 4096
+#: Steps of one fit.
+STEPS = 100
+#: Pieces of one (length, salt) group, in which they are ranked.
+GROUP_ROWS = 100_000
 #: Equal sequences: their number, and the (length, pieces) of each.
 Group = tuple[int, tuple[tuple[int, int], ...]]
 
 
 def patterns(classes: int, present: np.ndarray) -> np.ndarray:
-    """(p, 3) multisets of up to three present classes that sum to ``classes``; 0 pads."""
+    """(p, 3) multisets of up to three present lengths that sum to ``classes``; 0 pads."""
     out = [(classes, 0, 0)] if present[classes] else []
     for a in range(1, classes):
         if not present[a]:
@@ -54,7 +53,7 @@ def patterns(classes: int, present: np.ndarray) -> np.ndarray:
     return np.array(out, dtype=np.int64).reshape(-1, 3)
 
 
-def fit(shapes: np.ndarray, counts: np.ndarray, rounds: int = 1500) -> np.ndarray:
+def fit(shapes: np.ndarray, counts: np.ndarray, rounds: int = STEPS) -> np.ndarray:
     """Repeat counts x >= 0 that minimise |A x - counts|^2, by accelerated projected gradients."""
     size, total = len(counts), max(1, counts.sum())
     target = counts / total
@@ -108,38 +107,26 @@ def plan_packing(counts: np.ndarray) -> PackingPlan:
 
 
 def _by_patterns(left: np.ndarray, sequence: int) -> list[Group]:
-    """Sequences after fitted patterns of length classes; takes their pieces, the longest first, from ``left``."""
-    width = max(1, sequence // CLASSES)
-    classes = sequence // width
-    counts = np.zeros(classes + 1, dtype=np.int64)
-    lengths = np.arange(1, classes * width + 1)
-    np.add.at(counts, -(-lengths // width), left[lengths])
-    shapes = patterns(classes, counts > 0)
+    """Sequences after fitted patterns, whose pieces are taken from ``left``.
+
+    Repeat counts are rounded along their running sum, the largest first, so that many small ones
+    together are not lost; the fit is repeated on what is left.
+    """
     out: list[Group] = []
-    if not len(shapes):
-        return out
-    repeats = fit(shapes, counts)
-    for i in np.argsort(-repeats, kind="stable"):
-        if repeats[i] < 0.5:
+    while len(shapes := patterns(sequence, left > 0)):
+        repeats = fit(shapes, left)
+        order = np.argsort(-repeats, kind="stable")
+        wanted = np.diff(np.floor(np.cumsum(repeats[order]) + 0.5), prepend=0).astype(np.int64)
+        taken = 0
+        for i, want in zip(order[wanted > 0].tolist(), wanted[wanted > 0].tolist(), strict=True):
+            lengths, sizes = np.unique(shapes[i][shapes[i] > 0], return_counts=True)
+            n = int(min(want, (left[lengths] // sizes).min()))
+            if n > 0:
+                left[lengths] -= n * sizes
+                out.append((n, tuple(zip(lengths.tolist(), sizes.tolist(), strict=True))))
+                taken += n
+        if not taken:
             break
-        parts, sizes = np.unique(shapes[i][shapes[i] > 0], return_counts=True)
-        n = int(min(round(repeats[i]), (counts[parts] // sizes).min()))
-        counts[parts] -= n * sizes
-        while n > 0:
-            taken: list[tuple[int, int]] = []
-            times = n
-            for c, each in zip(parts.tolist(), sizes.tolist(), strict=True):
-                need = each
-                for length in range(c * width, (c - 1) * width, -1):
-                    here = min(need, int(left[length]))
-                    if here:
-                        taken.append((length, here))
-                        times = min(times, int(left[length]) // here)
-                        need -= here
-            for length, each in taken:
-                left[length] -= times * each
-            out.append((times, tuple(taken)))
-            n -= times
     return out
 
 
@@ -235,16 +222,17 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE, order: tuple[str, ...] = (
     for cls, n in placed.groupBy("_cls").agg(F.count("*")).collect():  # one row per length
         counts[cls] = n
     plan = plan_packing(counts)
-    share = max(1, int(counts.sum()) // RANK_GROUPS)
-    salts = F.expr(f"array({', '.join(str(max(1, -(-int(n) // share))) for n in counts)})")
-    salted = placed.withColumn("_salt", F.pmod(F.xxhash64(*order), salts[F.col("_cls")]).cast("int"))
+    salts = F.expr(f"array({', '.join(str(max(1, -(-int(n) // GROUP_ROWS))) for n in counts)})")
+    # Rows that are equal in the order and every column may swap places; no others can.
+    ties = F.xxhash64(*[F.col(f"`{c}`") for c in pieces.columns])
+    salted = placed.withColumn("_salt", F.pmod(F.xxhash64(*order, F.col("ids_crc32") if "ids_crc32" in pieces.columns else F.lit(0)), salts[F.col("_cls")]).cast("int"))
     before = Window.partitionBy("_cls").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = (
         salted.groupBy("_cls", "_salt").agg(F.count("*").alias("_n"))
         .select("_cls", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     )
-    rank = F.row_number().over(Window.partitionBy("_cls", "_salt").orderBy(*order)) - 1
-    ranked = salted.withColumn("_rank", rank).join(F.broadcast(bases), ["_cls", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
+    rank = F.row_number().over(Window.partitionBy("_cls", "_salt").orderBy(*order, ties)) - 1
+    ranked = salted.withColumn("_rank", rank).join(bases, ["_cls", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
     shared = spark.sparkContext.broadcast(plan)  # bounded by the histogram
 
     def place(cls: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -355,5 +355,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b", local: int = LOCAL_
     return out
 
 
+#: Parts of a key's rows in ``join_salted``.
+SALTS = 32
+
+
+def join_salted(rows: DataFrame, keyed: DataFrame, key: str, spread: str) -> DataFrame:
+    """Inner join of many rows a key with one row a key; a key's rows are dealt to SALTS tasks by ``spread``."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    copies = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [key, "_salt"]).drop("_salt")
+
+
 def null_safe(column: str, other: str) -> Column:
     return F.col(column).eqNullSafe(F.col(other))

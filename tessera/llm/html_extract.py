@@ -3,7 +3,10 @@
 Every text node is filed under its root-to-leaf tag path. Text length and punctuation are
 aggregated per path, turned into ratios per node, fused, smoothed along the page, and paths at or
 above a threshold derived from their spread hold the content nodes. Blocks inside the content's own
-container (headings, short lines, lists) join them; structural and named boilerplate never does.
+container (headings, short lines, lists) join them; structural boilerplate (menus, forms, headers,
+footers) never does. Names that mark boilerplate (in class, id and role) rule an element out unless
+an article or main lies in it, the name tells a state of the page (``has-sidebar``,
+``comments-open``), or nothing would be left: then elements that hold all the text are wrappers.
 
 Defined results: null or empty html, or a page without text, gives an empty string. Repeated pages
 are extracted row by row. Broken markup is read as browsers do: unclosed elements end with their
@@ -49,29 +52,33 @@ NAMES = frozenset(
     "notification outbrain overlay pagination pager popup promo promotion promoted recommended related respond search share sharing "
     "sidebar signup skip social sponsor sponsored subscribe subscription taboola tags toolbar topbar widget widgets".split()
 )
+# Words that turn such a name into a statement about the page.
+STATES = frozenset("has have no not with without is are open opened close closed on off enabled disabled".split())
 _WORD = re.compile(r"[a-z]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，；！？、]")
 
 
 class _Element:
-    __slots__ = ("name", "path", "bad", "link", "parent", "depth")
+    __slots__ = ("name", "path", "fixed", "named", "link", "parent", "depth")
 
-    def __init__(self, name: str, label: str, parent: _Element | None, bad: bool) -> None:
+    def __init__(self, name: str, label: str, parent: _Element | None, fixed: bool, named: bool = False) -> None:
         self.name, self.parent = name, parent
         self.path = f"{parent.path}/{label}" if parent else label
-        self.bad = bad or (parent.bad if parent else False)
+        self.fixed = fixed or (parent.fixed if parent else False)
+        self.named = named
         self.link = name == "a" or (parent.link if parent else False)
         self.depth = parent.depth + 1 if parent else 0
 
 
-def _unwanted(name: str, attributes: str) -> tuple[str, bool]:
-    """The path label of an element and whether it is boilerplate by name."""
+def _unwanted(name: str, attributes: str) -> tuple[str, bool, bool]:
+    """The path label of an element, whether it is boilerplate by structure, and whether by name."""
     if not attributes:
-        return name, name in BOILERPLATE
+        return name, name in BOILERPLATE, False
     named = " ".join(next(filter(None, m.groups()), "") for m in _NAMED.finditer(attributes)).lower()
     words = set(_WORD.findall(named))
-    bad = name in BOILERPLATE or (name not in KEEPERS and bool(words & NAMES)) or bool(_HIDDEN.search(attributes))
-    return f"{name}.{'.'.join(sorted(words))}" if words else name, bad
+    fixed = name in BOILERPLATE or bool(_HIDDEN.search(attributes))
+    marked = name not in KEEPERS and any(parts & NAMES and not parts & STATES for parts in (set(_WORD.findall(x)) for x in named.split()))
+    return (f"{name}.{'.'.join(sorted(words))}" if words else name), fixed, marked
 
 
 def parse(page: str) -> list[list[tuple[str, _Element]]]:
@@ -131,13 +138,28 @@ def parse(page: str) -> list[list[tuple[str, _Element]]]:
                     break
                 if stack[i].name in ("ul", "ol", "dl", "table", "select", "div", "article", "body"):
                     break
-        label, bad = _unwanted(name, m["rest"])
-        stack.append(_Element(name, label, stack[-1], bad))
+        label, fixed, marked = _unwanted(name, m["rest"])
+        stack.append(_Element(name, label, stack[-1], fixed, marked))
     text(page[at:])
     close()
     return blocks
 
 
+def _ruled_out(blocks: list[list[tuple[str, _Element]]]) -> set[_Element]:
+    """Elements that are boilerplate by name: those that bear one and hold no article or main."""
+    marked: set[_Element] = set()
+    keeps: set[_Element] = set()
+    for element in {e for block in blocks for _, e in block}:
+        node: _Element | None = element
+        inside = False
+        while node:
+            inside |= node.name in ("article", "main")
+            if node.named:
+                (keeps if inside else marked).add(node)
+            node = node.parent
+    return marked - keeps
+
+
 def _fuse(blocks: list[list[tuple[str, _Element]]]) -> np.ndarray:
     """For each block, whether it holds a content node."""
     nodes = [(i, e.path, 0 if e.link else len(t), 0 if e.link else len(PUNCTUATION.findall(t))) for i, b in enumerate(blocks) for t, e in b if t.strip()]
@@ -175,11 +197,24 @@ def _container(elements: list[_Element], sizes: list[int]) -> _Element:
     return found
 
 
+def _outside(node: _Element | None, elements: set[_Element]) -> bool:
+    while node and node not in elements:
+        node = node.parent
+    return node is None
+
+
 def main_text(page: str | None) -> str:
     """The page's main text, one line per block."""
     if not page:
         return ""
-    blocks = [b for b in ([x for x in block if not x[1].bad] for block in parse(page)) if any(t.strip() for t, _ in b)]
+    sound = [[x for x in block if not x[1].fixed] for block in parse(page)]
+    out_of = _ruled_out(sound)
+    blocks: list[list[tuple[str, _Element]]] = []
+    # Where names rule everything out, the outermost of them are wrappers, and so on inwards.
+    while not blocks and any(t.strip() for block in sound for t, _ in block):
+        verdict = {e: _outside(e, out_of) for block in sound for _, e in block}
+        blocks = [b for b in ([x for x in block if verdict[x[1]]] for block in sound) if any(t.strip() for t, _ in b)]
+        out_of = {e for e in out_of if not _outside(e.parent, out_of)}
     if not blocks:
         return ""
     chosen = _fuse(blocks)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import char_shingles, code_points, discard, in_bitmap, key_bitmap, line_shingles, materialize, sliced
+from .common import char_shingles, code_points, discard, in_bitmap, join_salted, key_bitmap, line_shingles, materialize, sliced
 from .linking import Banding, band_batch, link
 
 NUM, DEN = 80, 100
@@ -144,7 +144,7 @@ def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN, width: int =
     classes = groups.join(linked, F.col("d1") == F.col("node"), "left").select("d1", "d2", "first", "n", F.col("comp"))
     fuzzy = classes.where("comp is not null")
     best = fuzzy.groupBy("comp").agg(F.min("first").alias("best"))
-    fuzzy = fuzzy.join(best, "comp").select("d1", "d2", "best", F.col("comp").alias("component"))
+    fuzzy = join_salted(fuzzy, best, "comp", "d1").select("d1", "d2", "best", F.col("comp").alias("component"))
     exact = classes.where("comp is null and n > 1").select("d1", "d2", F.col("first").alias("best"), F.col("d1").alias("component"))
     repeated = fuzzy.union(exact)
     keep = F.expr("doc_id <=> best.doc_id and line = best.line and doc_key = best.doc_key")

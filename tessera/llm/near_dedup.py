@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, discard, in_bitmap, key_bitmap, materialize, set_digest, sliced, word_shingles
+from .common import arrow_map, discard, in_bitmap, join_salted, key_bitmap, materialize, set_digest, sliced, word_shingles
 from .linking import Banding, band_batch, link
 
 HASHES = 144
@@ -94,7 +94,7 @@ def _verdicts(
     groups = materialize(groups.join(linked, F.col("d1") == F.col("node"), "left").select("d1", "d2", "first", "comp"))
     best = groups.where("comp is not null").groupBy("comp").agg(F.min("first").alias("best"))
     classes = (
-        groups.where("comp is not null").join(best, "comp").select("d1", "d2", "best")
+        join_salted(groups.where("comp is not null"), best, "comp", "d1").select("d1", "d2", "best")
         .union(groups.where("comp is null").select("d1", "d2", F.col("first").alias("best")))
     )
     out = feats.select("doc_id", "row_key", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left")

@@ -324,3 +324,15 @@ def test_planted_nested_secrets_are_found():
             for before in ("", "see ", "https://h/path/", "prefix_"):
                 text = f"{before}{inner} tail"
                 assert any(kind == 0 and a >= len(before) - 1 for a, _, kind in secret_scan.all_spans(text, secret_scan.base_spans(text))), text[:200]
+
+
+def test_names_of_wrappers_lose_no_article():
+    body = "<p>The first full paragraph, with commas, and words enough to count here.</p><p>A second one, which follows; it ends the piece.</p>"
+    plain = html_extract.main_text(f"<div>{body}</div>")
+    assert plain.count("\n") == 1
+    for page in (
+        f'<div class="layout has-sidebar">{body}</div>', f'<div class="post comments-open">{body}</div>', f'<div class="widget"><div class="share">{body}</div></div>',
+        f'<div id="page" class="menu-open"><article>{body}</article><div class="comments"><p>Nice post, thanks, all of you.</p></div></div>',
+        f'<div class="notice"><main>{body}</main></div><div class="sidebar"><p>Buy now, it is cheap.</p></div>',
+    ):
+        assert html_extract.main_text(page) == plain, page

@@ -19,6 +19,7 @@ from .lexer import DialectError, Token, literal
 
 _AGGREGATES = ("COUNT", "SUM", "AVG", "MIN", "MAX")
 _RANKINGS = ("ROW_NUMBER", "RANK", "DENSE_RANK")
+_BEFORE_OPERAND = ("WHERE", "AND", "OR", "NOT", "ON", "HAVING", "SELECT", "WHEN", "THEN", "ELSE", "IN", "LIKE")
 _CLAUSES = ("FROM", "WHERE", "GROUP", "HAVING", "ORDER", "LIMIT", "UNION")
 
 
@@ -26,14 +27,35 @@ def _name(token: Token) -> str:
     return f"`{token.text}`" if token.kind == "quoted" else token.text
 
 
+def _argument(token: Token, args: Sequence[object]) -> object:
+    at = int(token.text[1:])
+    if not 1 <= at <= len(args):
+        raise DialectError(f"No value for parameter {token.text}")
+    return args[at - 1]
+
+
+def _operand(out: list[str]) -> str:
+    """Takes the operand to the left off ``out``: one name or value, or a parenthesis with the function before it."""
+    if out[-1] != ")":
+        return out.pop()
+    depth, at = 0, len(out)
+    while at:
+        at -= 1
+        depth += (out[at] == ")") - (out[at] == "(")
+        if not depth:
+            break
+    if at and (out[at - 1].replace("_", "").replace(".", "").isalnum()) and out[at - 1].upper() not in _BEFORE_OPERAND:
+        at -= 1
+    text = " ".join(out[at:])
+    del out[at:]
+    return text
+
+
 def _value(token: Token, args: Sequence[object]) -> str:
     if token.kind == "string":
         return literal(token.text)
     if token.kind == "parameter":
-        at = int(token.text[1:])
-        if not 1 <= at <= len(args):
-            raise DialectError(f"No value for parameter {token.text}")
-        return literal(args[at - 1])
+        return literal(_argument(token, args))
     if token.kind == "number":
         return token.text if token.text.isdigit() else f"CAST('{token.text}' AS DOUBLE)"
     return _name(token)
@@ -51,7 +73,7 @@ def lower(tokens: list[Token], args: Sequence[object] = ()) -> str:
         token = tokens[i]
         if token.kind in ("word", "quoted"):
             if token.is_word("CONTAINS") and out and i + 1 < len(tokens) and tokens[i + 1].kind in ("string", "parameter"):
-                out.append(f"array_contains(split(lower({out.pop()}), '[^a-z0-9]+'), lower({_value(tokens[i + 1], args)}))")
+                out.append(f"array_contains(split(lower({_operand(out)}), '[^a-z0-9]+'), lower({_value(tokens[i + 1], args)}))")
                 i += 2
                 continue
             if token.is_word("OVERLAPS") and len(out) >= 5 and out[-1] == ")" and out[-3] == "," and out[-5] == "(":
@@ -72,8 +94,8 @@ def lower(tokens: list[Token], args: Sequence[object] = ()) -> str:
                 i = j
                 continue
             if token.is_word("LIKE") and i + 1 < len(tokens) and tokens[i + 1].kind in ("string", "parameter"):
-                pattern = tokens[i + 1].text if tokens[i + 1].kind == "string" else str(args[int(tokens[i + 1].text[1:]) - 1])
-                out += ["LIKE", literal(pattern.replace("\\", "\\\\"))]  # a backslash is an ordinary character
+                pattern = tokens[i + 1].text if tokens[i + 1].kind == "string" else _argument(tokens[i + 1], args)
+                out += ["LIKE", literal(pattern if pattern is None else str(pattern).replace("\\", "\\\\"))]  # a backslash is an ordinary character
                 i += 2
                 continue
             if token.is_word("AS") and i + 1 < len(tokens) and tokens[i + 1].kind == "string":
@@ -86,11 +108,11 @@ def lower(tokens: list[Token], args: Sequence[object] = ()) -> str:
                 i += 2
             out.append(name)
         elif token.kind == "symbol" and token.text == "@>" and out and i + 1 < len(tokens):
-            out.append(f"array_contains({out.pop()}, {_value(tokens[i + 1], args)})")
+            out.append(f"array_contains({_operand(out)}, {_value(tokens[i + 1], args)})")
             i += 1
         elif token.kind == "symbol" and token.text == "->>" and out and i + 1 < len(tokens) and tokens[i + 1].kind == "string":
             path = literal(f"$['{tokens[i + 1].text}']")
-            out.append(f"try_variant_get(try_parse_json({out.pop()}), {path}, 'string')")
+            out.append(f"try_variant_get(try_parse_json({_operand(out)}), {path}, 'string')")
             i += 1
         elif token.kind == "body":
             raise DialectError("A quoted body is not part of a query")

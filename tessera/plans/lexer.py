@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from datetime import date, datetime
+from decimal import Decimal
 
 
 class DialectError(ValueError):
@@ -75,5 +77,15 @@ def literal(value: object) -> str:
         return f"CAST('{value!r}' AS DOUBLE)"
     if isinstance(value, (list, tuple)):
         return f"array({', '.join(map(literal, value))})"
+    if isinstance(value, (bytes, bytearray)):
+        return f"X'{bytes(value).hex()}'"
+    if isinstance(value, Decimal):
+        digits = f"{value:f}".lstrip("-").partition(".")
+        scale = len(digits[2])
+        return f"CAST('{value:f}' AS DECIMAL({max(1, min(38, len(digits[0].lstrip('0')) + scale), scale)},{scale}))"
+    if isinstance(value, datetime):
+        return f"{'TIMESTAMP' if value.tzinfo else 'TIMESTAMP_NTZ'} '{value.isoformat(sep=' ')}'"
+    if isinstance(value, date):
+        return f"DATE '{value.isoformat()}'"
     escaped = str(value).replace("\\", "\\\\").replace("'", "\\'")
     return f"'{escaped}'"

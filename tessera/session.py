@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -58,6 +59,7 @@ class _Transaction:
     savepoints: list[tuple[str, dict, set[str], dict]] = field(default_factory=list)
     pending: dict[str, list[list[str]]] = field(default_factory=dict)
     failed: bool = False
+    pin: str | None = None
 
 
 class _Cursor:
@@ -207,11 +209,16 @@ class Session:
 
     def close(self) -> None:
         """End the session; an open transaction is rolled back."""
+        self._end()
+
+    def _end(self) -> None:
+        if self._txn and self._txn.pin:
+            self.store.unpin(self._txn.pin)
         self._txn, self._explicit = None, False
 
     @staticmethod
     def _explain_error(e: Exception) -> str:
-        text = str(e).split("\n")[0] if not isinstance(e, DialectError) else str(e)
+        text = str(e) if isinstance(e, DialectError) else next((x.strip() for x in str(e).split("\n") if x.strip()), type(e).__name__)
         if "RECURSION_LEVEL_LIMIT_EXCEEDED" in str(e):
             return f"Recursive query did not finish within {MAX_RECURSION} iterations"
         return text
@@ -230,27 +237,31 @@ class Session:
         if c.peek("ROLLBACK") and not (len(tokens) > 1 and tokens[1].is_word("TO")):
             c.accept("ROLLBACK")
             c.end()
-            self._txn, self._explicit = None, False
+            self._end()
             return Result(True, "Transaction rolled back")
         if self._txn and self._explicit and self._txn.failed and not (c.peek("ROLLBACK")):
             raise DialectError("Current transaction is aborted, statements are ignored until ROLLBACK")
         if self._explicit:
             return self._in_transaction(c, args)
-        number, catalog = self.store.latest()
-        self._txn = _Transaction(number, catalog, copy.deepcopy(catalog))
+        # A note before the catalog is read: VACUUM then spares what this statement reads and writes.
+        pin = self.store.pin(0) if c.peek("INSERT", "UPDATE", "DELETE", "CALL", "VACUUM") else None
         try:
+            number, catalog = self.store.latest()
+            self._txn = _Transaction(number, catalog, copy.deepcopy(catalog), pin=pin)
             result = self._in_transaction(c, args)
             self._publish()
             return result
         finally:
             if not self._explicit:
                 self._txn = None
+            if pin:
+                self.store.unpin(pin)
 
     def _begin(self) -> Result:
         if self._explicit:
             raise DialectError("A transaction is already open")
         number, catalog = self.store.latest()
-        self._txn, self._explicit = _Transaction(number, catalog, copy.deepcopy(catalog)), True
+        self._txn, self._explicit = _Transaction(number, catalog, copy.deepcopy(catalog), pin=self.store.pin(number)), True
         return Result(True, "Transaction started")
 
     def _commit(self) -> Result:
@@ -261,7 +272,7 @@ class Session:
             if not failed:
                 self._publish()
         finally:
-            self._txn, self._explicit = None, False
+            self._end()
         return Result(not failed, "Transaction rolled back: a statement in it had failed" if failed else "Transaction committed")
 
     def _publish(self) -> None:
@@ -509,8 +520,19 @@ class Session:
         for table, rows in pending.items():
             if table in t.catalog["tables"]:
                 entry = t.catalog["tables"][table]
-                text = " UNION ALL ".join(f"SELECT {self._typed(entry, r)}" for r in rows)
-                self._append(table, self.spark.sql(text).coalesce(1))
+                self._append(table, self._values_frame(entry, rows))
+
+    def _values_frame(self, entry: dict, rows: list[list[str]]) -> DataFrame:
+        """One inline table of all rows; values that are no constants make one query per row instead."""
+        names = ", ".join(f"`{x['name']}`" for x in entry["columns"])
+        if not any("select" in v.lower() for r in rows for v in r):
+            each = ", ".join(f"({', '.join(f'CAST({v} AS {x["type"]})' for v, x in zip(r, entry['columns'], strict=True))})" for r in rows)
+            try:
+                checked = self._typed(entry, [f"`{x['name']}`" for x in entry["columns"]])
+                return self.spark.sql(f"SELECT {checked} FROM VALUES {each} AS t({names})").coalesce(1)
+            except AnalysisException:  # a value that cannot stand in an inline table
+                pass
+        return self.spark.sql(" UNION ALL ".join(f"SELECT {self._typed(entry, r)}" for r in rows)).coalesce(1)
 
     def _append(self, table: str, rows: DataFrame) -> None:
         entry = copy.deepcopy(self._entry("tables", table))
@@ -521,15 +543,20 @@ class Session:
         entry = self._entry("tables", table)
         if len(rows.columns) != len(given):
             raise DialectError(f"Column count {len(given)} does not match value count {len(rows.columns)}")
-        if self._triggers(table, "INSERT"):
-            raise DialectError("INSERT … SELECT into a table with row triggers is not supported")
         source = dict(zip((g.lower() for g in given), rows.toDF(*[f"_{i}" for i in range(len(given))]).columns, strict=True))
         renamed = rows.toDF(*source.values())
         out = [
             (F.col(source[x["name"].lower()]) if x["name"].lower() in source else F.expr(self._default(x))).cast(x["type"]).alias(x["name"])
             for x in entry["columns"]
         ]
-        self._append(table, renamed.select(*out))
+        filled = renamed.select(*out)
+        if self._triggers(table, "INSERT"):
+            found = filled.collect()  # row triggers see each row, one by one
+            self._fire(table, "BEFORE", "INSERT", found)
+            self._append(table, self.spark.createDataFrame(found, StructType.fromJson(entry["schema"])))
+            self._fire(table, "AFTER", "INSERT", found)
+        else:
+            self._append(table, filled)
         return Result(True, "Inserted rows of the query")
 
     def _where(self, c: _Cursor) -> str:
@@ -919,7 +946,7 @@ class Session:
             return Result(True, f"Vacuumed {table}: reclaimed 0 folder(s), compacted {before}")
         self._publish()
         self._txn.changed = set()
-        return Result(True, f"Vacuumed {table}: reclaimed {self.store.sweep(table, live)} folder(s), compacted {before}")
+        return Result(True, f"Vacuumed {table}: reclaimed {self.store.sweep(table, live, self._txn.pin)} folder(s), compacted {before}")
 
 
 def _checked_json(value: str) -> str:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import time
 import uuid
+from datetime import date, datetime
+from decimal import Decimal
 
 import pytest
 
 from tessera.session import Engine, Session
+from tessera.sources.storage import ConflictError
 
 
 @pytest.fixture
@@ -225,3 +229,54 @@ def test_slow_log(spark, tmp_path):
     db = Session(spark, str(tmp_path / "x"), slow_ms=0)
     db.execute("CREATE TABLE t (id INT)")
     assert db.slow_log and db.slow_log[0][0].startswith("CREATE")
+
+def test_left_operands_of_the_own_predicates(db):
+    run(db, "CREATE TABLE t (id INT, d VARCHAR, tags VARCHAR[])", "INSERT INTO t VALUES (1, 'The FOX', ARRAY['a']), (2, 'foxglove', ARRAY['b'])")
+    assert rows(db, "SELECT id FROM t WHERE lower(d) CONTAINS 'fox'") == [(1,)]
+    assert rows(db, "SELECT id FROM t WHERE NOT (d) CONTAINS 'fox' AND array_distinct(tags) @> 'b'") == [(2,)]
+    assert rows(db, "SELECT id FROM t WHERE d LIKE $1", None) == []
+
+
+def test_parameters_keep_their_types(db):
+    found = db.sql("SELECT $1 AS d, $2 AS t, $3 AS n, $4 AS b", [date(2024, 2, 29), datetime(2024, 2, 29, 1, 2, 3, 4), Decimal("-12.340"), b"\x00a'"])
+    assert [x for _, x in found.dtypes] == ["date", "timestamp_ntz", "decimal(5,3)", "binary"]
+    assert tuple(found.first()) == (date(2024, 2, 29), datetime(2024, 2, 29, 1, 2, 3, 4), Decimal("-12.340"), bytearray(b"\x00a'"))
+
+
+def test_vacuum_spares_open_snapshots_and_writers(spark, db):
+    run(db, "CREATE TABLE t (id INT)", "INSERT INTO t VALUES (1), (2)")
+    reader, writer = Session(spark, db.store.root), Session(spark, db.store.root)
+    run(reader, "BEGIN")
+    run(writer, "CREATE TABLE u (id INT)", "BEGIN", "INSERT INTO u VALUES (7)", "SAVEPOINT flushed")
+    run(db, "DELETE FROM t WHERE id = 1", "VACUUM t", "VACUUM u")
+    assert rows(reader, "SELECT id FROM t") == [(1,), (2,)]
+    run(writer, "COMMIT")
+    assert rows(db, "SELECT id FROM u") == [(7,)]
+    run(reader, "ROLLBACK")
+    run(db, "VACUUM t")
+    assert len(db.store.files.names("data/t")) == 1 and db.store.files.names("pins") == []
+
+
+def test_catalog_files_appear_whole_and_once(spark, db):
+    files = db.store.files
+    files.create("catalog/000000000099.json", "{}")
+    with pytest.raises(ConflictError):
+        files.create("catalog/000000000099.json", "[]")
+    assert files.read("catalog/000000000099.json") == "{}" and files.names("tmp") == []
+
+
+def test_insert_select_fires_row_triggers(db):
+    run(
+        db, "CREATE TABLE t (id INT, name VARCHAR)", "CREATE TABLE s (id INT, name VARCHAR)", "CREATE TABLE audit (id INT)", "INSERT INTO s VALUES (1, 'a'), (2, 'b')",
+        "CREATE PROCEDURE note(id INT) AS $$ INSERT INTO audit VALUES (id) $$ LANGUAGE SQL", "CREATE TRIGGER w AFTER INSERT ON t FOR EACH ROW EXECUTE PROCEDURE note()",
+        "INSERT INTO t SELECT id, name FROM s",
+    )
+    assert rows(db, "SELECT id FROM audit") == [(1,), (2,)] and rows(db, "SELECT name FROM t") == [("a",), ("b",)]
+
+
+def test_many_inserts_in_one_transaction(db):
+    run(db, "CREATE TABLE t (id INT, x DOUBLE, j JSON)", "BEGIN")
+    began = time.monotonic()
+    run(db, *[f"INSERT INTO t VALUES ({i}, {i}.5, NULL)" for i in range(100)], "COMMIT")
+    assert time.monotonic() - began < 60
+    assert db.sql("SELECT COUNT(*) AS n, SUM(x) AS s FROM t").first()[:] == (100, 5000.0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,8 +17,19 @@ def tokens(c: str | Column) -> Column:
     return F.filter(F.split(F.lower(_column(c)), "[^a-z0-9]+"), lambda x: x != "")
 
 
+def word_pattern(word: str) -> str | None:
+    """A pattern that finds a word of letters a-z and digits as one of ``tokens``; None for anything else."""
+    low = word.lower()
+    return f"(?<![a-z0-9]){low}(?![a-z0-9])" if re.fullmatch("[a-z0-9]+", low) else None
+
+
 def contains_word(c: str | Column, word: str) -> Column:
-    """Whole-word membership, case-insensitive; a phrase never matches."""
+    """Whole-word membership, case-insensitive; a phrase never matches.
+
+    A plain word is searched for between boundaries, without cutting the text into its words.
+    """
+    if pattern := word_pattern(word):
+        return F.lower(_column(c)).rlike(pattern)
     return F.array_contains(F.split(F.lower(_column(c)), "[^a-z0-9]+"), word.lower())
 
 

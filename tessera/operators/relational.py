@@ -60,22 +60,39 @@ def anti_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]])
     return equi_join(left, right, on, "left_anti")
 
 
+#: How much wider the buckets of each level of the interval join are.
+LEVEL_STEP = 8
+
+
 def interval_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], width: int) -> DataFrame:
     """Pairs of rows whose whole-number intervals share a point, ends included.
 
-    Each interval is filed under the buckets of ``width`` that it touches; a pair that shares several
-    is kept in the first of them alone, so no distinct follows. Rows with a null end match nothing.
+    Each interval is filed under the one or two buckets that it touches at its own level, where buckets
+    are at least as wide as it is long (the lowest has ``width``), and at the levels above. A pair
+    meets at the higher of its two levels, so a long interval makes few rows; it is kept in the first
+    bucket that both touch, so no distinct follows. Rows with a null end match nothing. The longest
+    interval, which gives the number of levels, is looked up at once.
     """
     (a, b), (c, d) = left_span, right_span
-
-    def filed(df: DataFrame, low: str, high: str, name: str) -> DataFrame:
-        buckets = F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))
-        return df.where(F.col(low) <= F.col(high)).withColumn(name, F.explode(buckets))
-
-    one, two = filed(left, a, b, "_bucket_left"), filed(right, c, d, "_bucket_right")
-    first = F.floor(F.greatest(one[a], two[c]) / width)
-    shared = (one["_bucket_left"] == two["_bucket_right"]) & (one[a] <= two[d]) & (one[b] >= two[c])
-    return one.join(two, shared & (one["_bucket_left"] == first)).drop("_bucket_left", "_bucket_right")
+    longest = [df.agg(F.max(F.col(high) - F.col(low))).first()[0] or 0 for df, low, high in ((left, a, b), (right, c, d))]
+    widths = [width]
+    while widths[-1] < max(longest):
+        widths.append(widths[-1] * LEVEL_STEP)
+
+    def filed(df: DataFrame, low: str, high: str, side: str) -> DataFrame:
+        size = F.col(high) - F.col(low)
+        own = F.coalesce(*[F.when(size <= w, k) for k, w in enumerate(widths)])
+        each = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.lit(w).cast("bigint").alias("width")) for k, w in enumerate(widths)]))
+        rows = df.where(F.col(low) <= F.col(high)).withColumns({f"_own_{side}": own, f"_at_{side}": each}).where(F.col(f"_at_{side}.level") >= F.col(f"_own_{side}"))
+        buckets = F.sequence(F.floor(F.col(low) / F.col(f"_at_{side}.width")), F.floor(F.col(high) / F.col(f"_at_{side}.width")))
+        return rows.withColumn(f"_bucket_{side}", F.explode(buckets))
+
+    one, two = filed(left, a, b, "left"), filed(right, c, d, "right")
+    level, cell = F.col("_at_left.level"), F.col("_bucket_left")
+    shared = (level == F.col("_at_right.level")) & (cell == F.col("_bucket_right")) & (level == F.greatest("_own_left", "_own_right"))
+    first = F.floor(F.greatest(one[a], two[c]) / F.col("_at_left.width"))
+    met = one.join(two, shared & (one[a] <= two[d]) & (one[b] >= two[c]) & (cell == first))
+    return met.drop(*[f"_{x}_{side}" for x in ("own", "at", "bucket") for side in ("left", "right")])
 
 
 # --- aggregation -------------------------------------------------------------------------------

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from ..functions.predicates import word_pattern
 from .lexer import DialectError, Token, literal
 
 _AGGREGATES = ("COUNT", "SUM", "AVG", "MIN", "MAX")
@@ -73,7 +74,12 @@ def lower(tokens: list[Token], args: Sequence[object] = ()) -> str:
         token = tokens[i]
         if token.kind in ("word", "quoted"):
             if token.is_word("CONTAINS") and out and i + 1 < len(tokens) and tokens[i + 1].kind in ("string", "parameter"):
-                out.append(f"array_contains(split(lower({_operand(out)}), '[^a-z0-9]+'), lower({_value(tokens[i + 1], args)}))")
+                word = tokens[i + 1].text if tokens[i + 1].kind == "string" else _argument(tokens[i + 1], args)
+                pattern = word_pattern(word) if isinstance(word, str) else None
+                if pattern:
+                    out.append(f"(lower({_operand(out)}) RLIKE {literal(pattern)})")
+                else:
+                    out.append(f"array_contains(split(lower({_operand(out)}), '[^a-z0-9]+'), lower({literal(word)}))")
                 i += 2
                 continue
             if token.is_word("OVERLAPS") and len(out) >= 5 and out[-1] == ")" and out[-3] == "," and out[-5] == "(":

@@ -58,10 +58,17 @@ def _dialect(name: str, sql: str, oracle: str | None = None) -> None:
     _query(name, oracle or sql)(lambda spark, sf_dir: dialect(spark, sf_dir, sql))
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder that the whole cluster shares; a folder of this machine only where it is the cluster."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(shared or '/tmp/checkpoints').rstrip('/')}/tessera/{uuid.uuid4().hex}"
+
+
 def _stored(spark: SparkSession, sf_dir: str, *names: str) -> Session:
     """A session over a fresh store, with tables loaded from Parquet."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    session = Session(spark, f"{shared}/tessera/{uuid.uuid4().hex}")
+    session = Session(spark, _folder(spark))
     for name in names:
         session.load(name, table(spark, sf_dir, name))
     return session
@@ -195,19 +202,13 @@ _dialect(
 
 @_query(
     "interval_join",
-    """WITH s AS (SELECT l_orderkey AS k, min(l_partkey) AS lo, max(l_partkey) AS hi FROM lineitem GROUP BY 1),
-            a AS (SELECT k AS a_key, lo AS a_lo, least(hi, lo + 20) AS a_hi FROM s WHERE k % 7 = 0),
-            b AS (SELECT k AS b_key, lo AS b_lo, least(hi, lo + 5) AS b_hi FROM s WHERE k % 11 = 0)
-       SELECT a_key, b_key FROM a JOIN b ON a_lo <= b_hi AND a_hi >= b_lo""",
+    "SELECT p_partkey, c_custkey FROM part JOIN customer ON p_partkey <= c_custkey + c_nationkey AND p_partkey + p_size >= c_custkey",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    spans = R.aggregate(table(spark, d, "lineitem"), ["l_orderkey"], {"lo": F.min("l_partkey"), "hi": F.max("l_partkey")})
-
-    def side(name: str, step: int, most: int) -> DataFrame:
-        part = spans.where(F.col("l_orderkey") % step == 0)
-        return part.select(F.col("l_orderkey").alias(f"{name}_key"), F.col("lo").alias(f"{name}_lo"), F.least("hi", F.col("lo") + most).alias(f"{name}_hi"))
-
-    return R.interval_join(side("a", 7, 20), side("b", 11, 5), ("a_lo", "a_hi"), ("b_lo", "b_hi"), 16).select("a_key", "b_key")
+    """Whole tables and whole intervals: [p_partkey, p_partkey + p_size] and [c_custkey, c_custkey + c_nationkey]."""
+    part = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") + F.col("p_size")).alias("p_to"))
+    customer = table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") + F.col("c_nationkey")).alias("c_to"))
+    return R.interval_join(part, customer, ("p_partkey", "p_to"), ("c_custkey", "c_to"), 64).select("p_partkey", "c_custkey")
 
 
 # --- joins and subqueries ----------------------------------------------------------------------
@@ -514,8 +515,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     """Three transactions put the nations by key modulo 3; the second rolls back, the third never ends; a fourth deletes one."""
     from .streaming.replication import Replica
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    replica = Replica(spark, f"{shared}/tessera/{uuid.uuid4().hex}")
+    replica = Replica(spark, _folder(spark))
     puts = table(spark, d, "nation").select(
         (F.col("n_nationkey") % 3).cast("bigint").alias("txn"), F.col("n_nationkey").cast("bigint").alias("seq"), F.lit("put").alias("op"),
         F.col("n_nationkey").cast("string").alias("key"), F.col("n_name").alias("value"),
@@ -527,6 +527,141 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return replica.rows()
 
 
+# --- what the statements above leave out ---------------------------------------------------------
+
+
+def _outcome(spark: SparkSession, session: Session, *sqls: str) -> DataFrame:
+    """(step, ok) of statements, some of which must fail."""
+    return spark.createDataFrame([(i, session.execute(sql).ok) for i, sql in enumerate(sqls)], "step int, ok boolean")
+
+
+def _steps(*oks: bool) -> str:
+    return " UNION ALL ".join(f"SELECT {i} AS step, {str(ok).lower()} AS ok" for i, ok in enumerate(oks))
+
+
+@_query("window_partition_by_two", "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber DESC) AS place FROM lineitem")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    out = R.ranking(table(spark, d, "lineitem"), "row_number", ["l_orderkey", "l_returnflag"], [("l_linenumber", True)], "place")
+    return out.select("l_orderkey", "l_linenumber", "place")
+
+
+_dialect(
+    "window_filter_limit", "SELECT o_orderkey, RANK() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC) AS place FROM orders WHERE o_custkey < 50 ORDER BY o_orderkey LIMIT 20",
+    "SELECT o_orderkey, rank() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC) AS place FROM orders WHERE o_custkey < 50 ORDER BY o_orderkey LIMIT 20",
+)
+
+
+@_query("join_key_types", "SELECT n_nationkey, r_name FROM nation JOIN region ON CAST(n_regionkey AS DOUBLE) = r_regionkey")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """An integer key meets a double one."""
+    nation = table(spark, d, "nation").withColumn("as_double", F.col("n_regionkey").cast("double"))
+    return R.equi_join(nation, table(spark, d, "region"), [("as_double", "r_regionkey")]).select("n_nationkey", "r_name")
+
+
+@_query("array_literal_contains", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey IN (1, 3)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    session = _must(
+        _stored(spark, d, "nation"), "CREATE TABLE tagged (region INT, tags VARCHAR[])",
+        "INSERT INTO tagged VALUES (0, ARRAY['cold']), (1, ARRAY['warm', 'wet']), (3, ARRAY['warm']), (4, NULL)",
+    )
+    return session.sql("SELECT n_nationkey, n_name FROM nation JOIN tagged ON n_regionkey = region WHERE tags @> 'warm'")
+
+
+@_query("json_on_insert", _steps(True, True, False, True))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    session = _must(_stored(spark, d), "CREATE TABLE t (id INT, data JSON)")
+    values = ("'{\"a\": [1, null]}'", "NULL", "'{invalid json}'", "'7'")
+    return _outcome(spark, session, *[f"INSERT INTO t VALUES ({i}, {v})" for i, v in enumerate(values)])
+
+
+@_query("current_defaults", "SELECT r_regionkey AS id, true AS dated, true AS stamped FROM region")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    session = _must(
+        _stored(spark, d, "region"), "CREATE TABLE t (id INT, day DATE DEFAULT CURRENT_DATE, at TIMESTAMP DEFAULT CURRENT_TIMESTAMP)",
+        "INSERT INTO t (id) SELECT r_regionkey FROM region",
+    )
+    return session.sql("SELECT id, day IS NOT NULL AS dated, at IS NOT NULL AS stamped FROM t")
+
+
+@_query("poisoned_transaction", _steps(True, True, False, False, False, True, True))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    session = _stored(spark, d, "region")
+    return _outcome(
+        spark, session, "BEGIN", "DELETE FROM region WHERE r_regionkey = 0", "SELECT * FROM nowhere", "DELETE FROM region WHERE r_regionkey = 1",
+        "SELECT r_name FROM region", "ROLLBACK", "SELECT r_name FROM region",
+    )
+
+
+@_query("write_conflict", "SELECT r_regionkey, true AS lost FROM region WHERE r_regionkey <> 4")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Two transactions write one table; the first to commit wins."""
+    one = _must(_stored(spark, d, "region"), "BEGIN", "DELETE FROM region WHERE r_regionkey = 3")
+    two = _must(Session(spark, one.store.root), "DELETE FROM region WHERE r_regionkey = 4")
+    lost = not one.execute("COMMIT").ok
+    return two.sql("SELECT r_regionkey FROM region").withColumn("lost", F.lit(lost))
+
+
+@_query("drop_statements", _steps(*[True] * 12, False, False, False, False))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    session = _stored(spark, d, "region")
+    return _outcome(
+        spark, session, "CREATE VIEW v AS SELECT r_name FROM region", "CREATE SEQUENCE s", "CREATE FUNCTION f(a INT) RETURNS INT AS $$ SELECT a + 1 $$ LANGUAGE SQL",
+        "CREATE PROCEDURE p(r_regionkey INT) AS $$ SELECT 1 $$ LANGUAGE SQL", "CREATE TRIGGER g AFTER DELETE ON region FOR EACH ROW EXECUTE PROCEDURE p()",
+        "CREATE INDEX i ON region (r_regionkey) USING BTREE", "DROP INDEX i", "DROP TRIGGER g ON region", "DROP PROCEDURE p", "DROP FUNCTION f", "DROP SEQUENCE s", "DROP VIEW v",
+        "SELECT * FROM v", "DROP VIEW v", "CALL p(1)", "DROP SEQUENCE s",
+    )
+
+
+@_query("refused_calls", _steps(True, True, False, False, False))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Wrong arity, a missing function, and transaction control in a body."""
+    session = _stored(spark, d, "region")
+    return _outcome(
+        spark, session, "CREATE FUNCTION f(a INT) RETURNS INT AS $$ SELECT a + 1 $$ LANGUAGE SQL", "CREATE PROCEDURE p(a INT) AS $$ COMMIT $$ LANGUAGE SQL",
+        "SELECT f(1, 2) AS x FROM region", "SELECT nothing_here(1) AS x FROM region", "CALL p(1)",
+    )
+
+
+@_query("recursive_cte_checks", _steps(False, False))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """RECURSIVE without UNION ALL, and UNION ALL without RECURSIVE."""
+    return _outcome(
+        spark, _stored(spark, d, "region"), "WITH RECURSIVE r AS (SELECT r_regionkey FROM region) SELECT * FROM r",
+        "WITH r AS (SELECT r_regionkey FROM region UNION ALL SELECT r_regionkey FROM region) SELECT * FROM r",
+    )
+
+
+@_query("explain", "SELECT true AS planned, true AS pushed")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    plan = _stored(spark, d, "region").sql("EXPLAIN SELECT r_name FROM region WHERE r_regionkey = 2").first()[0]
+    return spark.createDataFrame([("Physical Plan" in plan, "PushedFilters: [IsNotNull(r_regionkey), EqualTo(r_regionkey,2)]" in plan)], "planned boolean, pushed boolean")
+
+
+@_query("trigger_bulk_insert", "SELECT n_nationkey AS k FROM nation")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """INSERT ... SELECT into a table with a row trigger."""
+    session = _must(
+        _stored(spark, d, "nation"), "CREATE TABLE t (k INT, name VARCHAR)", "CREATE TABLE audit (k INT)",
+        "CREATE PROCEDURE note(k INT) AS $$ INSERT INTO audit VALUES (k) $$ LANGUAGE SQL", "CREATE TRIGGER w BEFORE INSERT ON t FOR EACH ROW EXECUTE PROCEDURE note()",
+        "INSERT INTO t SELECT n_nationkey, n_name FROM nation",
+    )
+    return session.sql("SELECT k FROM audit")
+
+
+@_query("slow_query_log", "SELECT 'SELECT r_name FROM region' AS query")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    session = Session(spark, _stored(spark, d, "region").store.root, slow_ms=0)
+    session.sql("SELECT r_name FROM region")
+    return spark.createDataFrame([(q,) for q, _ in session.slow_log], "query string")
+
+
+@_query("indexed_lookup", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 37")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """VACUUM lays the table out by its index, so the statistics of files and row groups skip the rest."""
+    session = _must(_stored(spark, d, "orders"), "CREATE INDEX by_customer ON orders (o_custkey) USING BRIN", "VACUUM orders")
+    return session.sql("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 37")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filter, join, group, order and limit over orders and customers, through the dialect."""
     return dialect(

@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, components, discard, in_bitmap, key_bitmap, materialize, mix64
+from .common import arrow_map, components, discard, distinct, in_bitmap, key_bitmap, materialize, mix64
 
 #: Members of a hub, and bytes of their sets, per block.
 BLOCK = 64
 BLOCK_BYTES = 4 << 20
+#: Up to so many pairs are compared one by one, more as products of matrices.
+FEW = 16
 #: Distinct hashes of a pair of blocks that are compared in one product.
 COLUMNS = 8192
 
@@ -118,6 +120,15 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, width)
 
 
+def _same_enough(one: np.ndarray, two: np.ndarray, plan: Banding) -> bool:
+    """Whether two sorted sets reach the threshold, in whole numbers."""
+    small, large = (one, two) if len(one) <= len(two) else (two, one)
+    if not len(small) or plan.den * len(small) < plan.num * len(large):
+        return False
+    both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return plan.den * both >= plan.num * (len(one) + len(two) - both)
+
+
 def _shared(one: list[np.ndarray], two: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Intersection sizes of each set of ``one`` with each of ``two``, and both sides' sizes.
 
@@ -147,13 +158,18 @@ class _Side:
         self.node = rows.field("node").to_numpy(zero_copy_only=False)
         self.label = labels
         self.signature = _matrix(rows.field("sig"), plan.hashes) if screened else None
-        self._sets, self._unpack, self._made = rows.field("set"), unpack, {}
+        self._sets, self._unpack, self._made, self._sorted = rows.field("set"), unpack, {}, {}
 
     def full(self, i: int) -> np.ndarray:
         if i not in self._made:
             self._made[i] = self._unpack(self._sets[int(i)].as_py())
         return self._made[i]
 
+    def sorted(self, i: int) -> np.ndarray:
+        if i not in self._sorted:
+            self._sorted[i] = distinct(self.full(i))
+        return self._sorted[i]
+
 
 def _links(one: _Side, two: _Side, wanted: np.ndarray, plan: Banding, table: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Confirmed links among the wanted pairs of differently labelled nodes; labels are joined as links are found.
@@ -167,20 +183,27 @@ def _links(one: _Side, two: _Side, wanted: np.ndarray, plan: Banding, table: lis
             alive = at[_screen(np.broadcast_to(one.signature[i], (len(at), plan.hashes)), two.signature[at], table)]
             wanted[i] = False
             wanted[i, alive] = True
-    rows, columns = np.flatnonzero(wanted.any(axis=1)), np.flatnonzero(wanted.any(axis=0))
     out: list[tuple[int, int]] = []
-    if not len(rows):
+
+    def join(i: int, j: int) -> None:
+        out.append((int(one.node[i]), int(two.node[j])))
+        old, now = two.label[j], one.label[i]
+        one.label[one.label == old] = now
+        two.label[two.label == old] = now
+
+    if np.count_nonzero(wanted) <= FEW:
+        for i, j in zip(*np.nonzero(wanted), strict=True):
+            if one.label[i] != two.label[j] and _same_enough(one.sorted(i), two.sorted(j), plan):
+                join(i, j)
         return out
+    rows, columns = np.flatnonzero(wanted.any(axis=1)), np.flatnonzero(wanted.any(axis=0))
     both, size_a, size_b = _shared([one.full(i) for i in rows], [two.full(j) for j in columns])
     whole = size_a[:, None] + size_b[None, :] - both
     alike = (plan.den * both >= plan.num * whole) & wanted[np.ix_(rows, columns)]
     for i, j in zip(*np.nonzero(alike), strict=True):
         i, j = rows[i], columns[j]
         if one.label[i] != two.label[j]:
-            out.append((int(one.node[i]), int(two.node[j])))
-            old, now = two.label[j], one.label[i]
-            one.label[one.label == old] = now
-            two.label[two.label == old] = now
+            join(i, j)
     return out
 
 
@@ -205,7 +228,7 @@ def _within(members: DataFrame, payload: DataFrame, plan: Banding, table: list[t
             first = np.zeros((n, n), dtype=bool)
             first[np.flatnonzero(side.node == hub)[:1]] = True
             found += _links(side, side, first, plan, table)
-            if n > 2:
+            if (side.label != side.label[0]).any():
                 found += _links(side, side, np.triu(np.ones((n, n), dtype=bool), 1), plan, table)
         yield _pair_batch(found)
 

@@ -192,3 +192,32 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert near_dedup.near_duplicates(empty).count() == 0
     assert line_dedup.dedup_lines(empty).count() == 0
+
+
+def test_nodes_are_texts_not_ids(spark):
+    """Repeated doc_ids with other texts, and near copies without an id."""
+    base, other = prose(61, 120).split(" "), prose(62, 90)
+    near = [" ".join([*base[:60], f"edit{i}", *base[61:]]) for i in range(3)]
+    rows = [(1, " ".join(base)), (9, near[0]), (9, other), (None, near[1]), (None, prose(63, 50)), (None, prose(63, 50) + " more"), (9, other)]
+    df = frame(spark, [(i, t, "en", "a", 0) for i, t in rows])
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in near_dedup.near_duplicates(df).collect())
+    n = [len(shingles(t)) for _, t in rows]
+    assert got == sorted([(1, n[0], 1, True), (9, n[1], 1, False), (9, n[2], 9, True), (0, n[3], 1, False), (0, n[4], 0, False), (0, n[5], 0, False), (9, n[2], 9, True)])
+    kept = [r.text for r in near_dedup.keep_representatives(df).collect()]
+    assert sorted(kept)[:0] == [] and kept.count(other) == 2 and " ".join(base) in kept and len(kept) == 4
+
+
+def test_complementary_words_do_not_collide(spark):
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    twin = word.translate(str.maketrans("ab", "ba"))
+    rows = [(i, f"{w} {w}x {w}y {w}z {w}q", "en", "a", 0) for i, w in enumerate((word, twin))]
+    assert [r.component_id for r in near_dedup.near_duplicates(frame(spark, rows)).orderBy("doc_id").collect()] == [0, 1]
+
+
+def test_local_and_distributed_components_agree(spark):
+    rng = random.Random(4)
+    links = spark.createDataFrame([(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)], "a bigint, b bigint")
+    one, two = ({r.node: r.comp for r in components(links, local=n).collect()} for n in (0, 1_000))
+    assert one == two and len(one) > 100

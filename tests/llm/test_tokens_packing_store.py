@@ -200,3 +200,14 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert packing.pack_documents(empty, WORD).count() == 0
     assert token_store.store_round_trip(empty, BYTE).count() == 0
+
+
+def test_words_that_powers_of_one_base_confuse():
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    texts = [word, word.translate(str.maketrans("ab", "ba")), f"{word} {word[::-1]}"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        encode = Encoder(public_tokenizers.path(name))
+        expected = [np.array(encode.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+        assert encode.many(texts) == expected

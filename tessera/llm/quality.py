@@ -3,9 +3,13 @@
 Whole texts give per-document statistics; transformed, they form a vector. Per language and source
 the MCD location and scatter are estimated by concentration steps from a robust start: the share
 ``SUPPORT`` of documents with the smallest distances gives the next mean and covariance, until the
-determinants settle. A reweighting step follows, and documents whose squared Mahalanobis distance
-exceeds the cutoff are rejected. Groups with too few documents use their language's estimate, then
-the whole corpus's.
+group's determinant settles. A reweighting step follows, and documents whose squared Mahalanobis
+distance exceeds the cutoff are rejected.
+
+The estimates are regularized alike at every size: each group of language and source is given the
+moments of its language as if ``PRIOR`` more documents had them, and each language those of the
+corpus. Large groups hardly notice, one of a single document is mostly judged by its language, and
+no size switches from one estimate to another.
 
 Everything is DataFrame expressions: statistics are array functions within a row; quantiles are
 read off fixed-width histograms (so no group is ever sorted or collected, and reruns agree); means,
@@ -38,9 +42,10 @@ SYMBOL = r"[#*$%&|<>]"
 SUPPORT = 0.75
 #: Tail mass of the chi-square beyond which a document is rejected.
 TAIL = 1e-5
-#: Documents that a group needs for an estimate of its own.
-LEAST_GROUP = 100
-STEPS = 8
+#: Documents, five a statistic, that a group is given with the moments of the level above it.
+PRIOR = 20
+#: A group's logarithm of the determinant has settled where a step lowers it by less.
+SETTLED = 1e-3
 #: Standard deviations added to each transformed statistic, so that one which is the same for most
 #: documents (no symbols, no repeats) does not make every other value an outlier.
 #: Small enough that each statistic can pass the cutoff by itself.
@@ -124,33 +129,52 @@ def _consistency(share: float, freedom: int) -> float:
     return share / _gamma_cdf(_chi2(share, freedom), freedom // 2 + 1)
 
 
-def _quantile_bin(rows: DataFrame, value: Column, share: float, name: str) -> DataFrame:
-    """(g, name): the smallest value of an integer column that at least ``share`` of a group reach."""
-    counts = rows.groupBy("g", value.cast("bigint").alias("bin")).agg(F.count("*").alias("n"))
-    whole = Window.partitionBy("g")
+def _quantile_bins(rows: DataFrame, values: dict[str, Column], share: float) -> DataFrame:
+    """(g, names..): for each integer column the smallest value that at least ``share`` of a group reach."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), v.cast("bigint").alias("bin")) for i, v in enumerate(values.values())]))
+    counts = rows.select("g", each.alias("x")).groupBy("g", "x.i", "x.bin").agg(F.count("*").alias("n"))
+    whole = Window.partitionBy("g", "i")
     upto = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     reached = counts.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(whole))
-    return reached.where(F.col("upto") >= share * F.col("all")).groupBy("g").agg(F.min("bin").alias(name))
+    first = [F.min(F.when(F.col("i") == i, F.col("bin"))).alias(name) for i, name in enumerate(values)]
+    return reached.where(F.col("upto") >= share * F.col("all")).groupBy("g").agg(*first)
 
 
-def _moments(rows: DataFrame, factor: float) -> DataFrame:
-    """(g, m0.., l00..): mean and Cholesky factor of the ridged covariance of each group."""
-    d = len(FEATURES)
+PLACES = [(i, j) for i in range(len(FEATURES)) for j in range(i + 1)]
+#: Columns of an estimate: location, scatter without the ridge, Cholesky factor of the ridged scatter.
+ESTIMATE = [*[f"m{i}" for i in range(len(FEATURES))], *[f"c{i}{j}" for i, j in PLACES], *[f"l{i}{j}" for i, j in PLACES], "log_det"]
+
+
+def _moments(rows: DataFrame, factor: float, above: DataFrame | None = None, prior: float = PRIOR) -> DataFrame:
+    """(g, estimate..): mean, covariance and Cholesky factor of the ridged covariance of each group.
+
+    above: (g, estimate..), what each group is given as ``prior`` documents; its groups are the result's.
+    """
     sums = [F.count("*").alias("n")]
     sums += [F.sum(x).alias(f"s{i}") for i, x in enumerate(FEATURES)]
-    sums += [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}{j}") for i in range(d) for j in range(i + 1)]
+    sums += [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}{j}") for i, j in PLACES]
     out = rows.groupBy("g").agg(*sums)
-    out = out.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(d)})
-    out = out.withColumns({
-        f"c{i}{j}": factor * (F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) + F.lit(RIDGE[i] ** 2 if i == j else 0.0)
-        for i in range(d) for j in range(i + 1)
-    })
-    for i in range(d):
-        for j in range(i + 1):
-            rest = F.col(f"c{i}{j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(RIDGE[i] ** 2 / 4))) if i == j else rest / F.col(f"l{j}{j}"))
+    d = len(FEATURES)
+    out = out.select(
+        "g", "n", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(d)],
+        *[(factor * (F.col(f"q{i}{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * F.col(f"s{j}") / F.col("n"))).alias(f"c{i}{j}") for i, j in PLACES],
+    )
+    if above is not None:
+        given = above.select("g", *[F.col(c).alias(f"a_{c}") for c in ESTIMATE if c[0] in "mc"])
+        out = given.join(out, "g", "left")
+        n = F.coalesce("n", F.lit(0))
+        own, theirs = n / (n + F.lit(prior)), F.lit(prior) / (n + F.lit(prior))
+        apart = [F.coalesce(F.col(f"m{i}") - F.col(f"a_m{i}"), F.lit(0.0)) for i in range(d)]
+        out = out.select(
+            "g", *[(F.col(f"a_m{i}") + own * apart[i]).alias(f"m{i}") for i in range(d)],
+            *[(own * F.coalesce(f"c{i}{j}", F.lit(0.0)) + theirs * F.col(f"a_c{i}{j}") + own * theirs * apart[i] * apart[j]).alias(f"c{i}{j}") for i, j in PLACES],
+        )
+    for i, j in PLACES:
+        rest = F.col(f"c{i}{j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
+        rest = rest + F.lit(RIDGE[i] ** 2 if i == j else 0.0)
+        out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(RIDGE[i] ** 2 / 4))) if i == j else rest / F.col(f"l{j}{j}"))
     log_det = sum((2 * F.log(f"l{i}{i}") for i in range(d)), F.lit(0.0))
-    return out.select("g", *[f"m{i}" for i in range(d)], *[f"l{i}{j}" for i in range(d) for j in range(i + 1)], log_det.alias("log_det"))
+    return out.withColumn("log_det", log_det).select("g", *ESTIMATE)
 
 
 def _with_distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
@@ -171,30 +195,45 @@ def _bin(d2: Column) -> Column:
 def _inner(rows: DataFrame, estimate: DataFrame, share: float) -> DataFrame:
     """The share of each group's rows that lies nearest to the estimate."""
     near = _with_distance(rows, estimate)
-    return near.join(_quantile_bin(near, _bin(F.col("d2")), share, "limit"), "g").where(_bin(F.col("d2")) <= F.col("limit"))
+    return near.join(_quantile_bins(near, {"limit": _bin(F.col("d2"))}, share), "g").where(_bin(F.col("d2")) <= F.col("limit"))
 
 
 def _start(rows: DataFrame) -> DataFrame:
     """Coordinate-wise medians and median absolute deviations as a first, diagonal estimate."""
-    medians = None
-    for i, x in enumerate(FEATURES):
-        part = _quantile_bin(rows, F.floor(F.col(x) * 200), 0.5, f"b{i}")
-        medians = part if medians is None else medians.join(part, "g")
-    medians = materialize(medians)
-    centred = rows.join(medians, "g")
-    spread = medians
-    for i, x in enumerate(FEATURES):
-        away = F.floor(F.abs(F.col(x) - (F.col(f"b{i}") + 0.5) / 200) * 200)
-        spread = spread.join(_quantile_bin(centred, away, 0.5, f"a{i}"), "g")
-    d = len(FEATURES)
+    medians = materialize(_quantile_bins(rows, {f"b{i}": F.floor(F.col(x) * 200) for i, x in enumerate(FEATURES)}, 0.5))
+    away = {f"a{i}": F.floor(F.abs(F.col(x) - (F.col(f"b{i}") + 0.5) / 200) * 200) for i, x in enumerate(FEATURES)}
+    spread = _quantile_bins(rows.join(medians, "g"), away, 0.5).join(medians, "g")
     return spread.select(
-        "g", *[((F.col(f"b{i}") + 0.5) / 200).alias(f"m{i}") for i in range(d)],
-        *[(F.sqrt((1.4826 * (F.col(f"a{i}") + 0.5) / 200) ** 2 + RIDGE[i] ** 2) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(d) for j in range(i + 1)],
-        F.lit(0.0).alias("log_det"),
+        "g", *[((F.col(f"b{i}") + 0.5) / 200).alias(f"m{i}") for i in range(len(FEATURES))],
+        *[F.lit(None).cast("double").alias(f"c{i}{j}") for i, j in PLACES],
+        *[(F.sqrt((1.4826 * (F.col(f"a{i}") + 0.5) / 200) ** 2 + RIDGE[i] ** 2) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in PLACES],
+        F.lit(float("inf")).alias("log_det"),
     )
 
 
-def judge(docs: DataFrame, support: float = SUPPORT, tail: float = TAIL, least_group: int = LEAST_GROUP, steps: int = STEPS) -> DataFrame:
+def _settle(rows: DataFrame, support: float, above: DataFrame | None, prior: float) -> DataFrame:
+    """Concentration steps for each group until its determinant settles, then the reweighting step.
+
+    Every step lowers an open group's determinant by ``SETTLED`` or closes the group, and the ridge
+    bounds determinants from below, so the steps end. Closed groups are not worked on again.
+    """
+    factor, d = _consistency(support, len(FEATURES)), len(FEATURES)
+    now = materialize(_start(rows).withColumn("open", F.lit(True)))
+    while not now.where("open").isEmpty():
+        step = _moments(_inner(rows, now.where("open").drop("open"), support), factor, above, prior)
+        step = step.select("g", *[F.col(c).alias(f"t_{c}") for c in ESTIMATE])
+        lower = F.col("t_log_det") < F.col("log_det")
+        better = [F.when(F.col("open") & lower, F.col(f"t_{c}")).otherwise(F.col(c)).alias(c) for c in ESTIMATE]
+        still = F.coalesce(F.col("open") & (F.col("t_log_det") < F.col("log_det") - SETTLED), F.lit(False))
+        before, now = now, materialize(now.join(step, "g", "left").select("g", *better, still.alias("open")))
+        discard(before)
+    inner = _with_distance(rows, now.drop("open")).where(F.col("d2") <= _chi2(0.975, d))
+    out = materialize(_moments(inner, _consistency(0.975, d), above, prior))
+    discard(now)
+    return out
+
+
+def judge(docs: DataFrame, support: float = SUPPORT, tail: float = TAIL, prior: float = PRIOR) -> DataFrame:
     """Statistics, base_failed, kept and the squared distance of every row of documents."""
     n = F.greatest(F.col("n_words"), F.lit(1))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
@@ -204,34 +243,20 @@ def judge(docs: DataFrame, support: float = SUPPORT, tail: float = TAIL, least_g
         "x1": F.sqrt(F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))),
         "x2": F.sqrt(F.col("n_dup_lines") / (F.col("n_lines") + MORE_LINES)),
         "x3": F.sqrt(F.col("n_repeat_words") / (F.col("n_words") + MORE_WORDS)),
+        "fine": F.to_json(F.struct("lang", "source")),
+        "coarse": F.to_json(F.struct("lang")),
+        "every": F.lit("*"),
     })
     rows = materialize(rows)
-    # Keys of the levels: language and source, language, everything.
-    fine, coarse, whole = F.to_json(F.struct("lang", "source")), F.to_json(F.struct("lang")), F.lit("*")
-    levels = rows.where(~F.col("base_failed")).select(F.explode(F.array(fine, coarse, whole)).alias("g"))
-    large = levels.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= least_group)
-    large = materialize(large.select("g"))
-    own, language = large.withColumnRenamed("g", "g1"), large.withColumnRenamed("g", "g2")
-    keyed = rows.withColumns({"f": fine, "c": coarse}).join(own, F.col("f") == F.col("g1"), "left").join(language, F.col("c") == F.col("g2"), "left")
-    keyed = materialize(keyed.withColumn("g", F.coalesce("g1", "g2", whole)).drop("f", "c", "g1", "g2"))
-    # A coarser estimate rests on all documents at its level, not only on those that fall back to it.
-    fit = keyed.where(~F.col("base_failed")).select(F.explode(F.array(fine, coarse, whole)).alias("g"), *FEATURES)
-    used = keyed.select("g").distinct()
-    fit = materialize(fit.join(used, "g", "left_semi"))
-    factor = _consistency(support, len(FEATURES))
-    estimate, mark = materialize(_start(fit)), None
-    for _ in range(steps):
-        estimate = materialize(_moments(_inner(fit, estimate, support), factor))
-        settled = estimate.agg(F.round(F.sum("log_det"), 3)).first()[0]
-        if settled == mark:
-            break
-        mark = settled
-    inner = _with_distance(fit, estimate).where(F.col("d2") <= _chi2(0.975, len(FEATURES)))
-    estimate = materialize(_moments(inner, _consistency(0.975, len(FEATURES))))
-    judged = _with_distance(keyed.where(~F.col("base_failed")), estimate)
+    good, above = rows.where(~F.col("base_failed")), None
+    for level, parent in (("every", None), ("coarse", "every"), ("fine", "coarse")):
+        if parent:
+            inside = good.select(F.col(level).alias("child"), F.col(parent).alias("g")).distinct()
+            above = materialize(inside.join(above, "g").drop("g").withColumnRenamed("child", "g"))
+        above = _settle(good.select(F.col(level).alias("g"), *FEATURES), support, above, prior)
+    judged = _with_distance(good.withColumn("g", F.col("fine")), above)
     judged = judged.withColumn("kept", F.coalesce(F.col("d2") <= _chi2(1 - tail, len(FEATURES)), F.lit(True)))
-    failed = keyed.where("base_failed").withColumns({"d2": F.lit(None).cast("double"), "kept": F.lit(False)})
-    discard(rows, fit)
+    failed = rows.where("base_failed").withColumns({"g": F.col("fine"), "d2": F.lit(None).cast("double"), "kept": F.lit(False)})
     both = judged.unionByName(failed)
     return both.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("d2").alias("distance"))
 

@@ -286,6 +286,79 @@ def test_concentration_resists_what_a_plain_covariance_does_not(spark):
     assert plain.where(F.col("d2") > quality._chi2(1 - 1e-5, 4)).count() == 0
 
 
+def brute_distances(rows: list[tuple]) -> dict[int, float]:
+    """Squared distances by the method spelled out in numpy: levels, steps and reweighting, group by group."""
+    ridge = np.array(quality.RIDGE)
+    vectors = {}
+    for doc_id, text, lang, source, _ in rows:
+        n, chars, symbols, dup, repeats, failed = measured(text)
+        if not failed:
+            lines = sum(bool(WORD.search(x)) for x in text.split("\n"))
+            x = (np.log(max(chars, 1) / n), np.sqrt(symbols / max(chars, 1)), np.sqrt(dup / (lines + quality.MORE_LINES)), np.sqrt(repeats / (n + quality.MORE_WORDS)))
+            vectors[doc_id] = (np.array(x), lang, source)
+
+    def reached(bins: np.ndarray, share: float) -> float:
+        return np.sort(bins)[int(np.ceil(share * len(bins) - 1e-9)) - 1]
+
+    def squared(x: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
+        away = x - mean
+        return (away * np.linalg.solve(cov + np.diag(ridge**2), away.T).T).sum(axis=1)
+
+    def moments(x: np.ndarray, factor: float, above) -> tuple:
+        n, k = len(x), 0 if above is None else quality.PRIOR
+        mean = x.mean(axis=0) if n else above[0]
+        cov = factor * np.cov(x.T, bias=True) if n > 1 else np.zeros((4, 4))
+        if above is None:
+            return mean, cov
+        apart = mean - above[0]
+        return (n * mean + k * above[0]) / (n + k), (n * cov + k * above[1]) / (n + k) + n * k / (n + k) ** 2 * np.outer(apart, apart)
+
+    def estimate(x: np.ndarray, above) -> tuple:
+        middle = (np.array([reached(np.floor(c * 200), 0.5) for c in x.T]) + 0.5) / 200
+        spread = np.array([reached(np.floor(c * 200), 0.5) for c in np.abs(x - middle).T])
+        now, det = (middle, np.diag((1.4826 * (spread + 0.5) / 200) ** 2)), np.inf
+        while True:
+            bins = np.floor(64 * np.log2(squared(x, *now) + 1e-6))
+            step = moments(x[bins <= reached(bins, quality.SUPPORT)], quality._consistency(quality.SUPPORT, 4), above)
+            new = np.linalg.slogdet(step[1] + np.diag(ridge**2))[1]
+            last, now, det = det, step if new < det else now, min(new, det)
+            if new >= last - quality.SETTLED:
+                return moments(x[squared(x, *now) <= quality._chi2(0.975, 4)], quality._consistency(0.975, 4), above)
+
+    found, out = {}, {}
+    for depth in range(3):
+        for key in {(lang, source)[:depth] for _, lang, source in vectors.values()}:
+            ids = [i for i, v in vectors.items() if v[1:][:depth] == key]
+            x = np.array([vectors[i][0] for i in ids])
+            found[key] = estimate(x, found[key[:-1]] if depth else None)
+            if depth == 2:
+                out |= dict(zip(ids, squared(x, *found[key]), strict=True))
+    return out
+
+
+def test_verdicts_equal_brute_force(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(260):
+        text = prose(7000 + i, rng.randint(30, 160))
+        lang, source = ("en", "de", None)[i % 3], ("a", "b", None, "d")[i % 7 % 4]
+        if lang == "de":
+            text = text.replace("e", "eee")
+        if i % 20 == 3:
+            text = text.replace("a", "##")
+        if i % 20 == 9:
+            text = "\n".join([text, *text.split("\n")[:3]])
+        rows.append((i, text, lang, source, 0))
+    rows += [(900, prose(1, 90), "xx", "one", 0), (901, "#" + prose(2, 90).replace("e", "###"), "en", "lone", 0), (902, None, "en", "none", 0)]
+    want = brute_distances(rows)
+    got = {r.doc_id: r for r in quality.judge(frame(spark, rows)).collect()}
+    assert {i for i, r in got.items() if not r.base_failed} == set(want)
+    for i, d in want.items():
+        assert got[i].distance == pytest.approx(d, rel=1e-6, abs=1e-9)
+        assert got[i].kept == (d <= quality._chi2(1 - quality.TAIL, 4))
+    assert not got[901].kept and got[900].kept and not got[902].kept
+
+
 def test_chi_square_values():
     assert quality._chi2(0.975, 4) == pytest.approx(11.1433, abs=1e-3)
     assert quality._gamma_cdf(7.7794, 2) == pytest.approx(0.9, abs=1e-4)

@@ -192,10 +192,19 @@ def _bin(d2: Column) -> Column:
     return F.floor(64 * F.log2(d2 + 1e-6))
 
 
-def _inner(rows: DataFrame, estimate: DataFrame, share: float) -> DataFrame:
-    """The share of each group's rows that lies nearest to the estimate."""
-    near = _with_distance(rows, estimate)
-    return near.join(_quantile_bins(near, {"limit": _bin(F.col("d2"))}, share), "g").where(_bin(F.col("d2")) <= F.col("limit"))
+def _limits(rows: DataFrame, estimate: DataFrame, share: float) -> DataFrame:
+    """(g, limit): the bin of distances that the share of each group's rows reach."""
+    return _quantile_bins(_with_distance(rows, estimate), {"limit": _bin(F.col("d2"))}, share)
+
+
+def _inner(rows: DataFrame, estimate: DataFrame, share: float, limits: DataFrame | None = None) -> DataFrame:
+    """The share of each group's rows that lies nearest to the estimate.
+
+    limits: those of ``_limits`` where they are a table already; its size lets Spark broadcast it, so that
+    the rows of a large group need not meet in one task.
+    """
+    limits = limits or _limits(rows, estimate, share)
+    return _with_distance(rows, estimate).join(limits, "g").where(_bin(F.col("d2")) <= F.col("limit"))
 
 
 def _start(rows: DataFrame) -> DataFrame:
@@ -220,13 +229,15 @@ def _settle(rows: DataFrame, support: float, above: DataFrame | None, prior: flo
     factor, d = _consistency(support, len(FEATURES)), len(FEATURES)
     now = materialize(_start(rows).withColumn("open", F.lit(True)))
     while not now.where("open").isEmpty():
-        step = _moments(_inner(rows, now.where("open").drop("open"), support), factor, above, prior)
+        estimate = now.where("open").drop("open")
+        limits = materialize(_limits(rows, estimate, support))
+        step = _moments(_inner(rows, estimate, support, limits), factor, above, prior)
         step = step.select("g", *[F.col(c).alias(f"t_{c}") for c in ESTIMATE])
         lower = F.col("t_log_det") < F.col("log_det")
         better = [F.when(F.col("open") & lower, F.col(f"t_{c}")).otherwise(F.col(c)).alias(c) for c in ESTIMATE]
         still = F.coalesce(F.col("open") & (F.col("t_log_det") < F.col("log_det") - SETTLED), F.lit(False))
         before, now = now, materialize(now.join(step, "g", "left").select("g", *better, still.alias("open")))
-        discard(before)
+        discard(before, limits)
     inner = _with_distance(rows, now.drop("open")).where(F.col("d2") <= _chi2(0.975, d))
     out = materialize(_moments(inner, _consistency(0.975, d), above, prior))
     discard(now)

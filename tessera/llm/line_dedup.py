@@ -30,7 +30,8 @@ from .linking import Banding, band_batch, link
 
 NUM, DEN = 80, 100
 WIDTH = 8
-HASHES = 64
+#: 14 bands of 3: at every similarity from 0.8 on, a pair is lost less often than with 16 bands of 4.
+HASHES = 42
 BAND_MISS = 1e-3
 POSTERIOR_MISS = 1e-6
 #: Lines whose signature one task has made and that it leaves out when they come again.

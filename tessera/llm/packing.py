@@ -31,8 +31,9 @@ from .tokens import encoder
 SEQUENCE = 2048
 #: Steps of one fit.
 STEPS = 100
-#: Pieces of one (length, salt) group, in which they are ranked.
-GROUP_ROWS = 100_000
+#: Pieces of one (length, salt) group on average, in which they are ranked: at most 8 MB of ids. Only
+#: the number of each group's pieces meets per length.
+GROUP_ROWS = 1_000
 #: Equal sequences: their number, and the (length, pieces) of each.
 Group = tuple[int, tuple[tuple[int, int], ...]]
 

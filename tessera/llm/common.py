@@ -51,6 +51,15 @@ def discard(*tables: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
+def stored_bytes(table: DataFrame) -> int:
+    """Bytes of the files that a table is read from."""
+    jvm, conf, total = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext._jsc.hadoopConfiguration(), 0
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        total += path.getFileSystem(conf).getContentSummary(path).getLength()
+    return total
+
+
 # --- hashing -----------------------------------------------------------------------------------
 
 _FOLDED = np.arange(256)
@@ -169,12 +178,6 @@ def code_points(line: bytes) -> np.ndarray:
     return np.frombuffer(line.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
-def line_shingles(line: bytes, width: int) -> np.ndarray:
-    """Shingle hashes, with repeats, of one line; a shorter line is one shingle."""
-    points = code_points(line)
-    return char_shingles(points, min(width, len(points)))
-
-
 def set_digest(hashes: np.ndarray) -> tuple[int, int]:
     """128 bits, as two signed longs, that identify a set of hashes."""
     one = mix64(hashes ^ np.uint64(0x51ED270B0A1F39C1)).sum(dtype=np.uint64)

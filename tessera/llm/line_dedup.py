@@ -18,15 +18,15 @@ whatever their names (n_chars, where present, counts the new text).
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import char_shingles, code_points, discard, in_bitmap, join_salted, key_bitmap, line_shingles, materialize, sliced
-from .linking import Banding, band_batch, link
+from .common import char_shingles, code_points, discard, in_bitmap, join_salted, key_bitmap, materialize, sliced
+from .linking import Banding, band_lists, link
 
 NUM, DEN = 80, 100
 WIDTH = 8
@@ -39,26 +39,42 @@ SEEN = 200_000
 _BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
-#: Lines are hashed together up to about this many bytes.
-PIECE = 1 << 20
+#: Lines are hashed together up to about this many bytes, which a processor's cache holds.
+PIECE = 1 << 15
 
 
-def _hashed(lines: list[bytes], width: int) -> Iterator[np.ndarray]:
-    """Shingle hashes, with repeats, of lines; empty where a line has at most ``width`` code points."""
+def _hashed(lines: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Shingle hashes, with repeats, of some lines after each other, and where each line's start and end.
+
+    A line of at most ``width`` code points has none; what lies between two lines belongs to neither.
+    """
     low = size = 0
     for high, line in enumerate(lines, 1):
         size += len(line)
         if size > PIECE or high == len(lines):
             some = lines[low:high]
-            counts = [len(x) if x.isascii() else len(x.decode("utf-8", "surrogatepass")) for x in some]
+            counts = np.array([len(x) if x.isascii() else len(x.decode("utf-8", "surrogatepass")) for x in some])
             every = char_shingles(code_points(b"".join(some)), width)
-            at = 0
-            for n in counts:
-                yield every[at : at + n - width + 1] if n > width else every[:0]
-                at += n
+            starts = np.cumsum(counts) - counts
+            yield every, starts, np.where(counts > width, starts + counts - width + 1, starts)
             low, size = high, 0
 
 
+def _signed(lines: list[bytes], width: int, sign: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Which lines have shingles, and the signatures of those."""
+    has, signatures = [np.empty(0, dtype=bool)], []
+    for every, starts, ends in _hashed(lines, width):
+        some = ends > starts
+        has.append(some)
+        signatures.append(sign(every, starts[some], ends[some]))
+    return np.concatenate(has), signatures
+
+
+def _shingled(lines: list[bytes], width: int) -> list[np.ndarray]:
+    """Shingle hashes, with repeats, of each line."""
+    return [every[a:b] for every, starts, ends in _hashed(lines, width) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+
 def _lines(text: str | None) -> Iterator[tuple[int, bytes]]:
     """(line number, trimmed bytes) of the lines that hold a word."""
     if text:
@@ -67,9 +83,13 @@ def _lines(text: str | None) -> Iterator[tuple[int, bytes]]:
                 yield i, line
 
 
-def _digest(line: bytes) -> tuple[int, int]:
-    h = hashlib.blake2b(line, digest_size=16).digest()
-    return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
+def _digest(line: bytes) -> bytes:
+    return hashlib.blake2b(line, digest_size=16).digest()
+
+
+def _longs(digests: list[bytes]) -> np.ndarray:
+    """(n, 2) signed longs."""
+    return np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -83,27 +103,28 @@ def _staged_lines(rows: DataFrame, plan: Banding, width: int) -> DataFrame:
     """(doc_id, doc_key, line, d1, d2, bands) of every line; bands only where a task first meets it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sign, seen = plan.signer(), set()
+        sign, seen = plan.range_signer(), set()
         for batch in sliced(batches):
-            doc, key, line_no, one, two, new = [], [], [], [], [], []
+            doc, key, line_no, digests, at, new = [], [], [], [], [], []
             for doc_id, text, doc_key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for i, line in _lines(text):
                     d = _digest(line)
                     if d not in seen and len(line) > width:
-                        new.append((len(doc), line))
+                        at.append(len(doc))
+                        new.append(line)
                         if len(seen) < SEEN:
                             seen.add(d)
                     doc.append(doc_id)
                     key.append(doc_key)
                     line_no.append(i)
-                    one.append(d[0])
-                    two.append(d[1])
-            bands: list[np.ndarray | None] = [None] * len(doc)
-            for (at, _), hashes in zip(new, _hashed([x for _, x in new], width), strict=True):
-                if len(hashes):
-                    bands[at] = sign(hashes)
+                    digests.append(d)
+            has, signatures = _signed(new, width, sign)
+            signed = np.zeros(len(doc), dtype=bool)
+            signed[np.array(at, dtype=np.int64)[has]] = True
+            bands = band_lists(plan, signed, np.concatenate([np.empty((0, plan.hashes), dtype=np.uint32), *signatures]))
+            d1, d2 = _longs(digests).T
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(line_no, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), band_batch(plan, bands)],
+                [pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(line_no, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), bands],
                 ["doc_id", "doc_key", "line", "d1", "d2", "bands"],
             )
 
@@ -124,22 +145,22 @@ def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN, width: int =
             seen: set[int] = set()
             for batch in sliced(batches):
                 node, full = [], []
-                found = [(_digest(line)[0], line) for text in batch.column(0) for _, line in _lines(text.as_py()) if len(line) > width]
-                digests = np.array([d for d, _ in found], dtype=np.int64)
-                hit = np.ones(len(found), dtype=bool) if wanted is None else in_bitmap(wanted.value, digests)
+                lines = [line for text in batch.column(0).to_pylist() for _, line in _lines(text) if len(line) > width]
+                digests = _longs([_digest(line) for line in lines])[:, 0]
+                hit = np.ones(len(lines), dtype=bool) if wanted is None else in_bitmap(wanted.value, digests)
                 for at in np.flatnonzero(hit).tolist():
-                    d, line = found[at]
+                    d = int(digests[at])
                     if d not in seen:
                         if len(seen) < SEEN:
                             seen.add(d)
                         node.append(d)
-                        full.append(line)
+                        full.append(lines[at])
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.nulls(len(node), pa.binary()), pa.array(full, pa.binary())], ["node", "sig", "set"])
 
         return rows.select("text").mapInArrow(sets, "node bigint, sig binary, set binary"), wanted
 
     # Lines travel as they are, an eighth of their shingles' size, and are cut where they are compared.
-    linked = link(nodes, fetch, plan, POSTERIOR_MISS, screened=False, unpack=lambda line: line_shingles(line, width))
+    linked = link(nodes, fetch, plan, POSTERIOR_MISS, screened=False, unpack=lambda lines: _shingled(lines, width))
     keeper = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line", "doc_key"))
     groups = materialize(staged.groupBy("d1", "d2").agg(keeper.alias("first"), F.count("*").alias("n")))
     classes = groups.join(linked, F.col("d1") == F.col("node"), "left").select("d1", "d2", "first", "n", F.col("comp"))
@@ -170,7 +191,7 @@ def dedup_lines(docs: DataFrame, drop_emptied: bool = False, counts: bool = Fals
     lines = F.split(text, "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_lost"))
     cleaned = F.when(F.col("_lost").isNull(), text).otherwise(F.transform(F.array(lines), lambda x: F.array_join(F.transform(kept, lambda i: F.get(x, i)), "\n"))[0])  # split once
-    n_lines = F.coalesce(F.size(F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0)).cast("bigint")
+    n_lines = F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D][^\n]*")), F.lit(0)).cast("bigint")  # from a line's first word to its end
     n_removed = F.coalesce(F.size("_lost"), F.lit(0)).cast("bigint")
     n_removed = F.when(F.col("_lost").isNull(), 0).otherwise(n_removed).cast("bigint")
     n_lines = F.when(text.isNull(), 0).otherwise(n_lines).cast("bigint")

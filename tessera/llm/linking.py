@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, components, discard, distinct, in_bitmap, key_bitmap, materialize, mix64
+from .common import arrow_map, components, discard, distinct, in_bitmap, key_bitmap, materialize, mix64, sliced, stored_bytes
 
 #: Members of a hub, and bytes of their sets, per block.
 BLOCK = 64
@@ -28,6 +28,12 @@ BLOCK_BYTES = 4 << 20
 FEW = 16
 #: Distinct hashes of a pair of blocks that are compared in one product.
 COLUMNS = 8192
+#: Hashes of many sets that are signed in one product.
+SIGNED = 8192
+#: Band keys that a task packs together, and about as many as one task gets to compare.
+PACKED = 1 << 20
+#: Bytes of payloads that are unpacked together, unless one block has more.
+UNPACKED = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -52,13 +58,14 @@ class Banding:
     def hashes(self) -> int:
         return self.rows * self.bands
 
-    def signer(self) -> Callable[[np.ndarray], np.ndarray]:
-        """A function from 64-bit hashes to their signature (uint32).
-
-        The hashes are random already, so odd factors alone reorder them.
-        """
+    def _factors(self) -> np.ndarray:
+        """The hashes are random already, so odd factors alone reorder them."""
         rng = np.random.Generator(np.random.PCG64(0xB4D))
-        factors = rng.integers(0, 2**32, (self.hashes, 1), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+        return rng.integers(0, 2**32, (self.hashes, 1), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+
+    def signer(self) -> Callable[[np.ndarray], np.ndarray]:
+        """A function from 64-bit hashes to their signature (uint32)."""
+        factors = self._factors()
 
         def sign(hashes: np.ndarray) -> np.ndarray:
             x = (hashes >> np.uint64(32)).astype(np.uint32)
@@ -71,6 +78,27 @@ class Banding:
 
         return sign
 
+    def range_signer(self) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+        """A function from 64-bit hashes and the starts and ends of ranges of them to (n, hashes) signatures.
+
+        The same values as ``signer`` of each range. Ranges ascend, do not overlap and are not empty.
+        """
+        factors = self._factors()
+
+        def sign(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+            out = np.full((self.hashes, len(starts)), 0xFFFFFFFF, dtype=np.uint32)
+            for low in range(0, len(hashes), SIGNED):
+                x = (hashes[low : low + SIGNED] >> np.uint64(32)).astype(np.uint32)
+                a, b = np.searchsorted(ends, low, "right"), np.searchsorted(starts, low + len(x), "left")
+                if a < b:
+                    cuts = np.empty(2 * (b - a), dtype=np.int64)
+                    cuts[::2], cuts[1::2] = np.maximum(starts[a:b] - low, 0), np.minimum(ends[a:b] - low, len(x))
+                    cuts = cuts[:-1] if cuts[-1] == len(x) else cuts
+                    np.minimum(out[:, a:b], np.minimum.reduceat(x * factors, cuts, axis=1)[:, ::2], out=out[:, a:b])
+            return out.T
+
+        return sign
+
     def keys(self, signatures: np.ndarray) -> np.ndarray:
         """(n, bands) band keys of (n, hashes) signatures."""
         cut = signatures.reshape(len(signatures), self.bands, self.rows).astype(np.uint64)
@@ -111,9 +139,9 @@ def _screen(left: np.ndarray, right: np.ndarray, table: list[tuple[int, int]]) -
     return alive
 
 
-def stored_set(data: bytes) -> np.ndarray:
-    """The set of a payload that holds sorted distinct 64-bit hashes."""
-    return np.frombuffer(data, dtype=np.uint64)
+def stored_sets(payloads: list[bytes]) -> list[np.ndarray]:
+    """The sets of payloads that hold sorted distinct 64-bit hashes."""
+    return [np.frombuffer(data, dtype=np.uint64) for data in payloads]
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -154,16 +182,14 @@ def _shared(one: list[np.ndarray], two: list[np.ndarray]) -> tuple[np.ndarray, n
 class _Side:
     """Some nodes of a block: ids, labels of what is known to be connected, signatures and sets."""
 
-    def __init__(self, rows: pa.StructArray, labels: np.ndarray, plan: Banding, unpack: Callable[[bytes], np.ndarray], screened: bool) -> None:
+    def __init__(self, rows: pa.StructArray, labels: np.ndarray, plan: Banding, sets: list[np.ndarray], screened: bool) -> None:
         self.node = rows.field("node").to_numpy(zero_copy_only=False)
         self.label = labels
         self.signature = _matrix(rows.field("sig"), plan.hashes) if screened else None
-        self._sets, self._unpack, self._made, self._sorted = rows.field("set"), unpack, {}, {}
+        self._sets, self._sorted = sets, {}
 
     def full(self, i: int) -> np.ndarray:
-        if i not in self._made:
-            self._made[i] = self._unpack(self._sets[int(i)].as_py())
-        return self._made[i]
+        return self._sets[i]
 
     def sorted(self, i: int) -> np.ndarray:
         if i not in self._sorted:
@@ -207,6 +233,19 @@ def _links(one: _Side, two: _Side, wanted: np.ndarray, plan: Banding, table: lis
     return out
 
 
+def _unpacked(blocks: list[pa.StructArray], unpack: Callable[[list[bytes]], list[np.ndarray]]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(number, sets) of each block of a batch; small blocks are unpacked together."""
+    low = size = 0
+    for high, rows in enumerate(blocks, 1):
+        size += rows.field("set").nbytes
+        if size > UNPACKED or high == len(blocks):
+            made, at = unpack([x for part in blocks[low:high] for x in part.field("set").to_pylist()]), 0
+            for i in range(low, high):
+                yield i, made[at : at + len(blocks[i])]
+                at += len(blocks[i])
+            low, size = high, 0
+
+
 def _pair_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({k: pa.array([p[i] for p in found], pa.int64()) for i, k in enumerate("ab")})
 
@@ -217,14 +256,15 @@ def _blocked(members: DataFrame, payload: DataFrame, *more: str) -> DataFrame:
     return members.join(payload.drop("bytes"), "node").groupBy("hub", "block").agg(rows)
 
 
-def _within(members: DataFrame, payload: DataFrame, plan: Banding, table: list[tuple[int, int]], unpack: Callable[[bytes], np.ndarray], screened: bool) -> DataFrame:
+def _within(members: DataFrame, payload: DataFrame, plan: Banding, table: list[tuple[int, int]], unpack: Callable[[list[bytes]], list[np.ndarray]], screened: bool) -> DataFrame:
     """Links inside the blocks, each with its hub: hub against members first, then those still apart."""
 
     def compare(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
-        for hub, rows in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
-            side = _Side(rows.values, np.arange(len(rows.values)), plan, unpack, screened)
-            n = len(side.node)
+        hubs, blocks = batch.column(0).to_pylist(), [x.values for x in batch.column(2)]
+        for at, sets in _unpacked(blocks, unpack):
+            hub, n = hubs[at], len(sets)
+            side = _Side(blocks[at], np.arange(n), plan, sets, screened)
             first = np.zeros((n, n), dtype=bool)
             first[np.flatnonzero(side.node == hub)[:1]] = True
             found += _links(side, side, first, plan, table)
@@ -237,7 +277,7 @@ def _within(members: DataFrame, payload: DataFrame, plan: Banding, table: list[t
 
 
 def _across(
-    members: DataFrame, linked: DataFrame, payload: DataFrame, plan: Banding, table: list[tuple[int, int]], unpack: Callable[[bytes], np.ndarray], screened: bool
+    members: DataFrame, linked: DataFrame, payload: DataFrame, plan: Banding, table: list[tuple[int, int]], unpack: Callable[[list[bytes]], list[np.ndarray]], screened: bool
 ) -> DataFrame | None:
     """Links between members of one hub that lie in different blocks and, so far, different components.
 
@@ -271,7 +311,7 @@ def _across(
     def compare(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
         for one, two in zip(batch.column(0), batch.column(1), strict=True):
-            a, b = (_Side(x.values, x.values.field("comp").to_numpy(zero_copy_only=False).copy(), plan, unpack, screened) for x in (one, two))
+            a, b = (_Side(x.values, x.values.field("comp").to_numpy(zero_copy_only=False).copy(), plan, unpack(x.values.field("set").to_pylist()), screened) for x in (one, two))
             found += _links(a, b, np.ones((len(a.node), len(b.node)), dtype=bool), plan, table)
         yield _pair_batch(found)
 
@@ -280,22 +320,75 @@ def _across(
     return found
 
 
+def _extremes(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys (uint64, ascending), and the smallest and the largest node of each."""
+    order = np.argsort(keys)
+    keys, nodes = keys[order], nodes[order]
+    new = np.ones(len(keys), dtype=bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    return keys[first], np.minimum.reduceat(nodes, first), np.maximum.reduceat(nodes, first)
+
+
+def crowded_keys(nodes: DataFrame) -> DataFrame:
+    """(key, hub) of every band key that several nodes have; hub is the smallest of them.
+
+    Keys travel packed: a row holds many keys of one part of their range, each with its smallest and
+    its largest node among what a task has gathered, so a frequent key costs a task two entries.
+    Parts grow in number with the table, not in size.
+    """
+    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), stored_bytes(nodes) // (8 * PACKED) + 1)
+
+    def pack(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        key, low, high = _extremes(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        several = low != high
+        last = np.cumsum(several + 1) - 1
+        key, node = np.repeat(key, several + 1), np.repeat(low, several + 1)
+        node[last] = high
+        cuts = np.searchsorted(((key >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32), np.arange(parts + 1))
+        filled = np.flatnonzero(np.diff(cuts))
+        data = [key[cuts[p] : cuts[p + 1]].tobytes() + node[cuts[p] : cuts[p + 1]].tobytes() for p in filled]
+        return pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array(data, pa.binary())], ["part", "data"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in sliced(batches, 10_000):
+            lists = batch.column(1)
+            key = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            if len(key):
+                held.append((key, np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()))))
+                n += len(key)
+            if n >= PACKED:
+                yield pack(held)
+                held, n = [], 0
+        if held:
+            yield pack(held)
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = [np.frombuffer(x, dtype=np.uint64).reshape(2, -1) for batch in batches for x in batch.column(0).to_pylist()]
+        if both:
+            key, low, high = _extremes(np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both]).view(np.int64))
+            several = low != high
+            key, hub = key[several].view(np.int64), low[several]
+            for at in range(0, len(key), 10_000):
+                yield pa.RecordBatch.from_pydict({"key": key[at : at + 10_000], "hub": hub[at : at + 10_000]})
+
+    dealt = nodes.select("node", "bands").mapInArrow(packed, "part int, data binary").repartitionById(parts, "part")
+    return dealt.select("data").mapInArrow(compared, "key bigint, hub bigint")
+
+
 def link(
     nodes: DataFrame, fetch: Callable[[DataFrame], tuple[DataFrame, object]], plan: Banding, miss: float, screened: bool = True,
-    unpack: Callable[[bytes], np.ndarray] = stored_set,
+    unpack: Callable[[list[bytes]], list[np.ndarray]] = stored_sets,
 ) -> DataFrame:
     """(node, comp) for every node that has a link; comp is the smallest node reachable.
 
     nodes: node bigint, bands array<bigint>; a node may come several times. fetch: from a table of
     nodes to at least those nodes' (node bigint, sig binary, set binary) and a broadcast that is not
     needed afterwards (or None); of rows that repeat a node one counts; sig may be null where nothing
-    is screened. unpack: from the set's binary to its hashes, in any order and with repeats.
+    is screened. unpack: from sets' binaries to their hashes, in any order and with repeats.
     """
-    exploded = nodes.select("node", F.explode("bands").alias("key"))
-    keys = materialize(
-        exploded.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top"))
-        .where("hub <> top").select("key", "hub")
-    )
+    keys = materialize(crowded_keys(nodes))
     shared = key_bitmap(keys, "key")
 
     def bucketed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -305,7 +398,7 @@ def link(
         hit = in_bitmap(shared.value, key)
         yield pa.RecordBatch.from_pydict({"node": node[hit], "key": key[hit]})
 
-    found = arrow_map(nodes.select("node", "bands"), bucketed, "node bigint, key bigint", rows=10_000) if shared else exploded
+    found = arrow_map(nodes.select("node", "bands"), bucketed, "node bigint, key bigint", rows=10_000) if shared else nodes.select("node", F.explode("bands").alias("key"))
     members = materialize(found.join(keys, "key").select("hub", "node").where("node <> hub").distinct())
     involved = materialize(members.select("node").union(members.select("hub")).distinct())
     payload, wanted = fetch(involved)
@@ -336,7 +429,13 @@ def link(
 def band_batch(plan: Banding, signatures: list[np.ndarray | None]) -> pa.ListArray:
     """Band keys as a list column; None gives an empty list."""
     full = [x for x in signatures if x is not None]
-    keys = plan.keys(np.concatenate(full).reshape(len(full), plan.hashes)).ravel() if full else np.empty(0, dtype=np.int64)
-    offsets = np.zeros(len(signatures) + 1, dtype=np.int32)
-    np.cumsum([0 if x is None else plan.bands for x in signatures], out=offsets[1:])
+    signed = np.array([x is not None for x in signatures], dtype=bool)
+    return band_lists(plan, signed, np.concatenate(full).reshape(len(full), plan.hashes) if full else np.empty((0, plan.hashes), dtype=np.uint32))
+
+
+def band_lists(plan: Banding, signed: np.ndarray, signatures: np.ndarray) -> pa.ListArray:
+    """Band keys as a list column: of the signatures in turn where ``signed``, else an empty list."""
+    keys = plan.keys(signatures).ravel()
+    offsets = np.zeros(len(signed) + 1, dtype=np.int32)
+    np.cumsum(signed * plan.bands, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys, type=pa.int64()))

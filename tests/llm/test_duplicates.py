@@ -221,3 +221,47 @@ def test_local_and_distributed_components_agree(spark):
     links = spark.createDataFrame([(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)], "a bigint, b bigint")
     one, two = ({r.node: r.comp for r in components(links, local=n).collect()} for n in (0, 1_000))
     assert one == two and len(one) > 100
+
+
+def test_ranges_are_signed_like_single_sets(monkeypatch):
+    """Many lines' signatures come from one product, also where a line is cut by the products' bounds."""
+    monkeypatch.setattr(linking, "SIGNED", 50)
+    plan = linking.Banding.for_threshold(80, 100, 42, 1e-3)
+    hashes = np.random.default_rng(2).integers(0, 2**63, 700, dtype=np.uint64)
+    starts, ends = np.array([0, 3, 60, 100, 150, 420, 699]), np.array([3, 40, 61, 150, 410, 500, 700])
+    expected = [plan.signer()(hashes[a:b]) for a, b in zip(starts, ends, strict=True)]
+    assert np.array_equal(plan.range_signer()(hashes, starts, ends), expected)
+    assert plan.range_signer()(hashes[:9], starts[:0], ends[:0]).shape == (0, plan.hashes)
+
+
+def test_lines_hashed_together_equal_lines_alone(monkeypatch):
+    lines = [b"short", b"a line of more than eight", "日本語の長い行はここにあります".encode(), b"exactly8", b"x" * 300, b"exactly 9", "é".encode() * 8]
+    alone = [line_dedup._shingled([x], 8)[0].tolist() for x in lines]
+    assert [len(x) for x in alone] == [0, 18, 8, 0, 293, 2, 0]
+    for piece in (1, 40, 1 << 15):
+        monkeypatch.setattr(line_dedup, "PIECE", piece)
+        assert [x.tolist() for x in line_dedup._shingled(lines, 8)] == alone
+
+
+def test_band_keys_travel_packed(spark, monkeypatch):
+    """The keys that several nodes have, each with its smallest node, from far fewer shuffled rows than keys."""
+    rng = random.Random(8)
+    rows = [(rng.randint(-400, 400), [rng.choice([7, -7, rng.randint(-(2**63), 2**63 - 1), rng.randint(-900, 900)]) for _ in range(5)]) for _ in range(3000)]
+    nodes = {}
+    for node, bands in rows:
+        for key in bands:
+            nodes.setdefault(key, set()).add(node)
+    table = spark.createDataFrame(rows, "node bigint, bands array<bigint>").repartition(3)
+    for packed in (1 << 20, 500):
+        monkeypatch.setattr(linking, "PACKED", packed)
+        found = linking.crowded_keys(table)
+        assert sorted((r.key, r.hub) for r in found.collect()) == sorted((k, min(v)) for k, v in nodes.items() if len(v) > 1)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Aggregate" not in plan and "Generate" not in plan
+    assert linking.crowded_keys(table.where("node > 1000")).count() == 0
+
+
+def test_lines_with_a_word_are_counted_as_they_are_split(spark):
+    texts = ["", "\n", " \t\r\n\x0b\x0c\n", "one", "\none\n\n two \n", "a\x0b\nb\x85\n \n ", "\r\n x\r\n\r\n", "\U0001f600\n\n.\n"]
+    got = line_dedup.dedup_lines(frame(spark, [(i, t, "en", "a", 0) for i, t in enumerate(texts)]), counts=True)
+    assert {r.doc_id: r.n_lines for r in got.collect()} == {i: sum(bool(WORD.search(x)) for x in t.split("\n")) for i, t in enumerate(texts)}

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import char_shingles, code_points, discard, in_bitmap, join_salted, key_bitmap, materialize, sliced
-from .linking import Banding, band_lists, link
+from .linking import Banding, link, packed_bands
 
 NUM, DEN = 80, 100
 WIDTH = 8
@@ -121,14 +121,14 @@ def _staged_lines(rows: DataFrame, plan: Banding, width: int) -> DataFrame:
             has, signatures = _signed(new, width, sign)
             signed = np.zeros(len(doc), dtype=bool)
             signed[np.array(at, dtype=np.int64)[has]] = True
-            bands = band_lists(plan, signed, np.concatenate([np.empty((0, plan.hashes), dtype=np.uint32), *signatures]))
+            bands = packed_bands(plan, signed, np.concatenate([np.empty((0, plan.hashes), dtype=np.uint32), *signatures]))
             d1, d2 = _longs(digests).T
             yield pa.RecordBatch.from_arrays(
                 [pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(line_no, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), bands],
                 ["doc_id", "doc_key", "line", "d1", "d2", "bands"],
             )
 
-    return rows.mapInArrow(run, "doc_id bigint, doc_key bigint, line int, d1 bigint, d2 bigint, bands array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, doc_key bigint, line int, d1 bigint, d2 bigint, bands binary")
 
 
 def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN, width: int = WIDTH, hashes: int = HASHES) -> DataFrame:
@@ -136,7 +136,7 @@ def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN, width: int =
     plan = Banding.for_threshold(num, den, hashes, BAND_MISS)
     rows = _keyed(docs)
     staged = materialize(_staged_lines(rows, plan, width))
-    nodes = staged.where(F.size("bands") > 0).select(F.col("d1").alias("node"), "bands")
+    nodes = staged.where("octet_length(bands) > 0").select(F.col("d1").alias("node"), "bands")
 
     def fetch(involved: DataFrame):
         wanted = key_bitmap(involved, "node")

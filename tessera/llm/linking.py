@@ -265,11 +265,14 @@ def _within(members: DataFrame, payload: DataFrame, plan: Banding, table: list[t
         for at, sets in _unpacked(blocks, unpack):
             hub, n = hubs[at], len(sets)
             side = _Side(blocks[at], np.arange(n), plan, sets, screened)
+            middle = np.flatnonzero(side.node == hub)[:1]
             first = np.zeros((n, n), dtype=bool)
-            first[np.flatnonzero(side.node == hub)[:1]] = True
+            first[middle] = True
             found += _links(side, side, first, plan, table)
-            if (side.label != side.label[0]).any():
-                found += _links(side, side, np.triu(np.ones((n, n), dtype=bool), 1), plan, table)
+            if n > 2 and (side.label != side.label[0]).any():
+                rest = np.triu(np.ones((n, n), dtype=bool), 1)
+                rest[middle] = rest[:, middle] = False  # compared before
+                found += _links(side, side, rest, plan, table)
         yield _pair_batch(found)
 
     hubs = members.select("hub", "block").distinct().select("hub", "block", F.col("hub").alias("node"))
@@ -320,6 +323,13 @@ def _across(
     return found
 
 
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and band keys (int64), one by one, of a batch of (node, bands)."""
+    bands = batch.column(1).to_pylist()
+    keys = np.frombuffer(b"".join(bands), dtype=np.int64)
+    return np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(x) // 8 for x in bands]), keys
+
+
 def _extremes(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys (uint64, ascending), and the smallest and the largest node of each."""
     order = np.argsort(keys)
@@ -353,10 +363,9 @@ def crowded_keys(nodes: DataFrame) -> DataFrame:
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in sliced(batches, 10_000):
-            lists = batch.column(1)
-            key = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            node, key = _flat(batch)
             if len(key):
-                held.append((key, np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()))))
+                held.append((key.view(np.uint64), node))
                 n += len(key)
             if n >= PACKED:
                 yield pack(held)
@@ -383,7 +392,7 @@ def link(
 ) -> DataFrame:
     """(node, comp) for every node that has a link; comp is the smallest node reachable.
 
-    nodes: node bigint, bands array<bigint>; a node may come several times. fetch: from a table of
+    nodes: node bigint, bands binary (``band_batch``); a node may come several times. fetch: from a table of
     nodes to at least those nodes' (node bigint, sig binary, set binary) and a broadcast that is not
     needed afterwards (or None); of rows that repeat a node one counts; sig may be null where nothing
     is screened. unpack: from sets' binaries to their hashes, in any order and with repeats.
@@ -392,13 +401,11 @@ def link(
     shared = key_bitmap(keys, "key")
 
     def bucketed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        lists = batch.column(1)
-        node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()))
-        key = lists.flatten().to_numpy(zero_copy_only=False)
-        hit = in_bitmap(shared.value, key)
+        node, key = _flat(batch)
+        hit = in_bitmap(shared.value, key) if shared else np.ones(len(key), dtype=bool)
         yield pa.RecordBatch.from_pydict({"node": node[hit], "key": key[hit]})
 
-    found = arrow_map(nodes.select("node", "bands"), bucketed, "node bigint, key bigint", rows=10_000) if shared else nodes.select("node", F.explode("bands").alias("key"))
+    found = arrow_map(nodes.select("node", "bands"), bucketed, "node bigint, key bigint", rows=10_000)
     members = materialize(found.join(keys, "key").select("hub", "node").where("node <> hub").distinct())
     involved = materialize(members.select("node").union(members.select("hub")).distinct())
     payload, wanted = fetch(involved)
@@ -426,16 +433,15 @@ def link(
     return final
 
 
-def band_batch(plan: Banding, signatures: list[np.ndarray | None]) -> pa.ListArray:
-    """Band keys as a list column; None gives an empty list."""
+def band_batch(plan: Banding, signatures: list[np.ndarray | None]) -> pa.BinaryArray:
+    """Band keys as a column of packed longs; None gives an empty value."""
     full = [x for x in signatures if x is not None]
     signed = np.array([x is not None for x in signatures], dtype=bool)
-    return band_lists(plan, signed, np.concatenate(full).reshape(len(full), plan.hashes) if full else np.empty((0, plan.hashes), dtype=np.uint32))
+    return packed_bands(plan, signed, np.concatenate(full).reshape(len(full), plan.hashes) if full else np.empty((0, plan.hashes), dtype=np.uint32))
 
 
-def band_lists(plan: Banding, signed: np.ndarray, signatures: np.ndarray) -> pa.ListArray:
-    """Band keys as a list column: of the signatures in turn where ``signed``, else an empty list."""
-    keys = plan.keys(signatures).ravel()
+def packed_bands(plan: Banding, signed: np.ndarray, signatures: np.ndarray) -> pa.BinaryArray:
+    """Band keys as a column of packed longs: of the signatures in turn where ``signed``, else an empty value."""
     offsets = np.zeros(len(signed) + 1, dtype=np.int32)
-    np.cumsum(signed * plan.bands, out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys, type=pa.int64()))
+    np.cumsum(signed * (8 * plan.bands), out=offsets[1:])
+    return pa.BinaryArray.from_buffers(pa.binary(), len(signed), [None, pa.py_buffer(offsets), pa.py_buffer(plan.keys(signatures).tobytes())])

@@ -64,11 +64,11 @@ def _verdicts(
                 ["doc_id", "row_key", "n_shingles", "d1", "d2", "bands"],
             )
 
-    feats = materialize(rows.mapInArrow(features, "doc_id bigint, row_key bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>"))
+    feats = materialize(rows.mapInArrow(features, "doc_id bigint, row_key bigint, n_shingles bigint, d1 bigint, d2 bigint, bands binary"))
 
     def fetch(involved: DataFrame):
         # One row of each set is enough, and its key picks it out before its text is cut again.
-        named = feats.where("size(bands) > 0").join(involved, F.col("d1") == F.col("node"), "left_semi")
+        named = feats.where("octet_length(bands) > 0").join(involved, F.col("d1") == F.col("node"), "left_semi")
         named = materialize(named.groupBy("d1").agg(F.min("row_key").alias("row_key")))
         wanted = key_bitmap(named, "row_key")
 
@@ -88,7 +88,7 @@ def _verdicts(
 
         return arrow_map(rows.select("row_key", "text"), sets, "node bigint, sig binary, set binary"), wanted
 
-    linked = link(feats.where("size(bands) > 0").select(F.col("d1").alias("node"), "bands"), fetch, plan, posterior_miss)
+    linked = link(feats.where("octet_length(bands) > 0").select(F.col("d1").alias("node"), "bands"), fetch, plan, posterior_miss)
     own = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "d1", "d2")
     groups = feats.where("d1 is not null").groupBy("d1", "d2").agg(F.min(own).alias("first"))
     groups = materialize(groups.join(linked, F.col("d1") == F.col("node"), "left").select("d1", "d2", "first", "comp"))

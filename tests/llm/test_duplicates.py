@@ -251,7 +251,8 @@ def test_band_keys_travel_packed(spark, monkeypatch):
     for node, bands in rows:
         for key in bands:
             nodes.setdefault(key, set()).add(node)
-    table = spark.createDataFrame(rows, "node bigint, bands array<bigint>").repartition(3)
+    packed_rows = [(node, np.array(bands, dtype=np.int64).tobytes()) for node, bands in rows]
+    table = spark.createDataFrame(packed_rows, "node bigint, bands binary").repartition(3)
     for packed in (1 << 20, 500):
         monkeypatch.setattr(linking, "PACKED", packed)
         found = linking.crowded_keys(table)
